@@ -37,6 +37,11 @@ def drop_stop_words(df: DataFrame, input_col: str, output_col: str,
     return remover.transform(df)
 
 
+def _gram_at(t: Column, n: int):
+    # one-argument lambda: transform() passes (element, index) to two-argument ones
+    return lambda i: F.array_join(F.slice(t, i, n), " ")
+
+
 def ngrams(tokens: str | Column, n_max: int = config.NGRAM_MAX,
            n_min: int = 1) -> Column:
     """All n-grams, n_min <= n <= n_max, space joined, grouped by n then by
@@ -47,9 +52,8 @@ def ngrams(tokens: str | Column, n_max: int = config.NGRAM_MAX,
         if n == 1:
             parts.append(t)
             continue
-        grams = F.transform(
-            F.sequence(F.lit(1), F.size(t) - F.lit(n - 1)),
-            lambda i, n=n: F.array_join(F.slice(t, i, n), " "))
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - F.lit(n - 1)),
+                            _gram_at(t, n))
         parts.append(F.when(F.size(t) >= n, grams).otherwise(
             F.array().cast("array<string>")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
@@ -102,8 +106,11 @@ def url_file_name(url: str | Column) -> Column:
 
 
 def quote_plus(q: str | Column) -> Column:
-    """Form-encode a search term (space becomes ``+``) (O-49)."""
-    return F.url_encode(_col(q))
+    """Form-encode a search term like ``urllib.parse.quote_plus`` (O-49):
+    space becomes ``+``; ``*`` is escaped and ``~`` kept, where Java's
+    encoder does the opposite."""
+    enc = F.url_encode(_col(q))
+    return F.replace(F.replace(enc, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def unquote_plus(q: str | Column) -> Column:

@@ -79,7 +79,7 @@ vec AS (
 )"""
 
 PAIRS = """
-similar AS (
+sim AS (
   SELECT a.uid AS uid_1, b.uid AS uid_2, sum(a.weight * b.weight) AS score
   FROM vec a JOIN vec b ON a.term = b.term
   GROUP BY a.uid, b.uid
@@ -132,7 +132,112 @@ LIMIT {config.RELATED_LIMIT}
 
 
 SAMPLE_UID = "7"
+SEARCH_TERM = "tion ou"
+R6 = "round({0}, 6) AS {0}"
+
+UNI = with_(DOCUMENT, TOKENS, UNIGRAMS, WEIGHTS)
+NG = with_(DOCUMENT, TOKENS, NGRAMS, WEIGHTS)
+TT = with_(DOCUMENT, TOKENS, NGRAMS, WEIGHTS, BAND, TOP_TERMS)
+DOC_TT = TT + """, doc_tt AS (
+  SELECT d.*, coalesce(t.top_terms_csv, '') AS top_terms
+  FROM document d LEFT JOIN topterms t ON d.uid = t.uid
+)
+"""
+SIM = with_(DOCUMENT, TOKENS, UNIGRAMS, WEIGHTS, PAIRS)
+LISTING = ("uid, doc_date, title, " + preview_sql("full_text", config.PREVIEW_FEED)
+           + " AS preview, from_auth, from_bur")
+ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LABEL = ("CASE classification WHEN 'noforn' THEN 'Noforn' WHEN 'secret' THEN 'Secret' "
+         "WHEN 'sensitive but unclassified' THEN 'Sensitive But Unclassified' "
+         "WHEN 'unclassified' THEN 'Unclassified' ELSE 'Uncategorized' END")
+QUOTE = "replace(url_encode({0}), '%20', '+')"
+UNQUOTE = "url_decode(replace({0}, '+', ' '))"
+
+
+def _like(q: str) -> str:
+    return _q("%" + q.lower() + "%")
+
 
 ORACLE: dict[str, str] = {
     "related_on_demand": related_on_demand(SAMPLE_UID),
+    "tokens": with_(DOCUMENT, TOKENS) + "SELECT uid, t AS tokens FROM toks",
+    "tfidf_unigram": UNI + "SELECT uid, term, tf, df, " + R6.format("weight") + " FROM vec",
+    "ngram_postings": with_(DOCUMENT, TOKENS, NGRAMS)
+    + "SELECT uid, term, count(*) AS tf FROM grams GROUP BY uid, term",
+    "ranked_terms": NG + "SELECT uid, term, " + R6.format("weight") + """,
+        row_number() OVER (PARTITION BY uid ORDER BY weight DESC, term DESC) AS rank FROM vec""",
+    "term_statistics": NG + """SELECT term, count(*) AS doc_count,
+        round(sum(weight), 6) AS score_sum FROM vec GROUP BY term""",
+    "top_terms": DOC_TT + "SELECT uid, top_terms FROM doc_tt",
+    "df_histogram": with_(DOCUMENT, TOKENS, NGRAMS, WEIGHTS, BAND) + """,
+        per_term AS (SELECT term, count(*) AS doc_count FROM vec GROUP BY term)
+        SELECT doc_count, count(*) AS n_terms,
+               CASE WHEN doc_count > band.lo AND doc_count < band.hi THEN '**' ELSE '' END AS in_band
+        FROM per_term CROSS JOIN band GROUP BY doc_count, band.lo, band.hi""",
+    "parity": with_(DOCUMENT, TOKENS) + """,
+        c AS (SELECT count(uid) AS n_keys, count(full_text) AS n_texts FROM document),
+        v AS (SELECT count(*) AS n_vectors FROM toks)
+        SELECT n_keys, n_texts, n_vectors, (n_keys = n_texts AND n_texts = n_vectors) AS ok
+        FROM c CROSS JOIN v""",
+    "trending": DOC_TT + f""", recent AS (
+          SELECT top_terms FROM doc_tt ORDER BY u_date DESC, uid LIMIT {config.TRENDING_DOCS}),
+        terms AS (SELECT unnest(string_split(top_terms, ',')) AS term FROM recent
+                  WHERE top_terms <> '')
+        SELECT term, count(*) AS n FROM terms WHERE term <> '' GROUP BY term
+        ORDER BY n DESC, term DESC LIMIT {config.TRENDING_TERMS}""",
+    "feed": with_(DOCUMENT) + f"""SELECT {LISTING} FROM document
+        ORDER BY doc_date DESC, uid LIMIT {config.FEED_LIMIT}""",
+    "feed_parsed_dates": with_(DOCUMENT) + f"""SELECT {LISTING} FROM document
+        ORDER BY try_strptime(doc_date, '%B %-d, %Y') DESC NULLS LAST, uid
+        LIMIT {config.FEED_LIMIT}""",
+    "search": with_(DOCUMENT) + f"""SELECT {LISTING} FROM document
+        WHERE {ASCII_LOWER.format('full_text')} LIKE {_like(SEARCH_TERM)}
+        ORDER BY u_date DESC, uid LIMIT {config.SEARCH_LIMIT}""",
+    "search_quoted": with_(DOCUMENT) + f"""SELECT {LISTING} FROM document
+        WHERE {ASCII_LOWER.format('full_text')} LIKE {_like(SEARCH_TERM)}
+        ORDER BY u_date DESC, uid LIMIT {config.SEARCH_LIMIT}""",
+    "detail": DOC_TT + f"""SELECT uid, classification, title, doc_date, from_auth, from_bur,
+        category, addressee, file_name, html, full_text,
+        CASE WHEN top_terms = '' THEN []::VARCHAR[] ELSE string_split(top_terms, ',') END
+          AS top_terms,
+        {LABEL} AS label
+        FROM doc_tt WHERE uid = {_q(SAMPLE_UID)}""",
+    "category_filter": with_(DOCUMENT) + """SELECT category, uid FROM document
+        WHERE category = 'en' ORDER BY uid LIMIT 5""",
+    "previews": with_(DOCUMENT) + "SELECT uid, " + preview_sql("full_text", config.PREVIEW_FEED)
+    + " AS preview FROM document",
+    "labels": with_(DOCUMENT) + f"SELECT uid, classification, {LABEL} AS label FROM document",
+    "url_round_trip": with_(DOCUMENT) + f"""SELECT uid, title, {QUOTE.format('title')} AS quoted,
+        {UNQUOTE.format(QUOTE.format('title'))} AS unquoted FROM document""",
+    "pair_table": SIM + "SELECT uid_1, uid_2, " + R6.format("score") + " FROM sim",
+    "pair_counts": SIM + f""", c AS (SELECT count(*) AS stored,
+            count(*) FILTER (WHERE score < {config.CHECK_CUTOFF}) AS below FROM sim),
+        n AS (SELECT count(*) AS n FROM document)
+        SELECT n * n AS n_pairs, below + (n * n - stored) AS n_below_cutoff
+        FROM c CROSS JOIN n""",
+    "top_scores": SIM + f"""SELECT round(score, 6) AS score FROM sim
+        WHERE score < {config.CHECK_CUTOFF}
+        ORDER BY round(score, 9) DESC LIMIT {config.CHECK_LIMIT}""",
+    "similar_titles": SIM + f"""SELECT s.uid_1, s.uid_2, d1.title AS title_1, d2.title AS title_2,
+        round(s.score, 6) AS score
+        FROM document d1 JOIN sim s ON d1.uid = s.uid_1 JOIN document d2 ON s.uid_2 = d2.uid
+        WHERE s.score < {config.CHECK_CUTOFF}
+        ORDER BY round(s.score, 9) DESC, s.uid_1, s.uid_2 LIMIT {config.CHECK_LIMIT}""",
+    "similar_titles_for": SIM + f"""SELECT s.uid_2, d2.title AS title_2, round(s.score, 6) AS score
+        FROM document d1 JOIN sim s ON d1.uid = s.uid_1 JOIN document d2 ON s.uid_2 = d2.uid
+        WHERE s.score < {config.CHECK_CUTOFF} AND d1.uid = {_q(SAMPLE_UID)}
+        ORDER BY round(s.score, 9) DESC, s.uid_1, s.uid_2 LIMIT {config.CHECK_LIMIT}""",
+    "related": SIM + f"""SELECT d.uid, d.title,
+        {preview_sql('d.full_text', config.PREVIEW_RELATED)} AS preview, round(s.score, 6) AS score
+        FROM document d JOIN sim s ON d.uid = s.uid_2
+        WHERE s.uid_1 = {_q(SAMPLE_UID)} AND s.score < {config.RELATED_CUTOFF}
+        ORDER BY round(s.score, 9) DESC, d.uid LIMIT {config.RELATED_LIMIT}""",
+    "related_all": SIM + f""", r AS (
+          SELECT uid_1, uid_2, score,
+                 row_number() OVER (PARTITION BY uid_1 ORDER BY round(score, 9) DESC, uid_2) AS rank
+          FROM sim WHERE score < {config.RELATED_CUTOFF})
+        SELECT r.uid_1, r.rank, d.uid, d.title,
+               {preview_sql('d.full_text', config.PREVIEW_RELATED)} AS preview,
+               round(r.score, 6) AS score
+        FROM r JOIN document d ON d.uid = r.uid_2 WHERE r.rank <= {config.RELATED_LIMIT}""",
 }

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import config, fixtures
+from quire.operators import search, tfidf
 from quire.operators import similarity as S
+from quire.plans import analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +34,158 @@ def related_on_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r6(S.related_on_demand(doc, SAMPLE_UID), "score")
 
 
+def _doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.document(spark, sf_dir)
+
+
+def _ngram_weights(spark, sf_dir):
+    return analysis.ngram_weights(_doc(spark, sf_dir))
+
+
+def _similar(spark, sf_dir):
+    return S.pair_table(_doc(spark, sf_dir))
+
+
+def tokens(spark, sf_dir):
+    return tfidf.tokenize(_doc(spark, sf_dir))
+
+
+def tfidf_unigram(spark, sf_dir):
+    return _r6(tfidf.tfidf(_doc(spark, sf_dir)), "weight")
+
+
+def ngram_postings(spark, sf_dir):
+    toks = tfidf.tokenize(_doc(spark, sf_dir))
+    return tfidf.term_counts(toks, "uid", config.NGRAM_MAX)
+
+
+def ranked_terms(spark, sf_dir):
+    r = tfidf.ranked_terms(_ngram_weights(spark, sf_dir))
+    return _r6(r.select("uid", "term", "weight", "rank"), "weight")
+
+
+def term_statistics(spark, sf_dir):
+    return _r6(tfidf.term_statistics(_ngram_weights(spark, sf_dir)), "score_sum")
+
+
+def top_terms(spark, sf_dir):
+    return analysis.document_top_terms(_doc(spark, sf_dir))
+
+
+def df_histogram(spark, sf_dir):
+    doc = _doc(spark, sf_dir)
+    return tfidf.df_histogram(analysis.ngram_weights(doc), tfidf.n_documents(doc))
+
+
+def parity(spark, sf_dir):
+    doc = _doc(spark, sf_dir)
+    return tfidf.parity(doc, tfidf.tokenize(doc))
+
+
+def trending(spark, sf_dir):
+    return search.trending(analysis.with_top_terms(_doc(spark, sf_dir)))
+
+
+def feed(spark, sf_dir):
+    return search.feed(_doc(spark, sf_dir))
+
+
+def feed_parsed_dates(spark, sf_dir):
+    return search.feed(_doc(spark, sf_dir), parse_dates=True)
+
+
+SEARCH_TERM = "tion ou"
+
+
+def search_text(spark, sf_dir):
+    return search.search(_doc(spark, sf_dir), SEARCH_TERM)
+
+
+def search_quoted(spark, sf_dir):
+    import urllib.parse
+    return search.search(_doc(spark, sf_dir), urllib.parse.quote_plus(SEARCH_TERM),
+                         quoted=True)
+
+
+def detail(spark, sf_dir):
+    return search.detail(analysis.with_top_terms(_doc(spark, sf_dir)), SAMPLE_UID)
+
+
+def category_filter(spark, sf_dir):
+    return search.where_equal(_doc(spark, sf_dir), "category", "en", k=5,
+                              columns=["category", "uid"])
+
+
+def previews(spark, sf_dir):
+    return search.previews(_doc(spark, sf_dir))
+
+
+def labels(spark, sf_dir):
+    return search.labels(_doc(spark, sf_dir))
+
+
+def url_round_trip(spark, sf_dir):
+    return search.url_round_trip(_doc(spark, sf_dir).select("uid", "title"), "title")
+
+
+def pair_table(spark, sf_dir):
+    return _r6(_similar(spark, sf_dir), "score")
+
+
+def pair_counts(spark, sf_dir):
+    doc = _doc(spark, sf_dir)
+    return S.pair_counts(S.pair_table(doc), tfidf.n_documents(doc))
+
+
+def top_scores(spark, sf_dir):
+    return _r6(S.top_scores(_similar(spark, sf_dir)), "score")
+
+
+def similar_titles(spark, sf_dir):
+    doc = _doc(spark, sf_dir)
+    return _r6(S.similar_titles(doc, S.pair_table(doc)), "score")
+
+
+def similar_titles_for(spark, sf_dir):
+    doc = _doc(spark, sf_dir)
+    return _r6(S.similar_titles(doc, S.pair_table(doc), uid=SAMPLE_UID), "score")
+
+
+def related(spark, sf_dir):
+    doc = _doc(spark, sf_dir)
+    return _r6(S.related(doc, S.pair_table(doc), SAMPLE_UID), "score")
+
+
+def related_all(spark, sf_dir):
+    doc = _doc(spark, sf_dir)
+    return _r6(S.related_all(doc, S.pair_table(doc)), "score")
+
+
 QUERIES: dict[str, Query] = {
     "related_on_demand": related_on_demand,
+    "tokens": tokens,
+    "tfidf_unigram": tfidf_unigram,
+    "ngram_postings": ngram_postings,
+    "ranked_terms": ranked_terms,
+    "term_statistics": term_statistics,
+    "top_terms": top_terms,
+    "df_histogram": df_histogram,
+    "parity": parity,
+    "trending": trending,
+    "feed": feed,
+    "feed_parsed_dates": feed_parsed_dates,
+    "search": search_text,
+    "search_quoted": search_quoted,
+    "detail": detail,
+    "category_filter": category_filter,
+    "previews": previews,
+    "labels": labels,
+    "url_round_trip": url_round_trip,
+    "pair_table": pair_table,
+    "pair_counts": pair_counts,
+    "top_scores": top_scores,
+    "similar_titles": similar_titles,
+    "similar_titles_for": similar_titles_for,
+    "related": related,
+    "related_all": related_all,
 }
