@@ -56,3 +56,75 @@ def document_view(documents: DataFrame) -> DataFrame:
 
 def document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_view(read(spark, sf_dir, "documents"))
+
+
+MARKS = config.PARA_MARKINGS + [""]
+
+
+def memo_blocks_view(documents: DataFrame) -> DataFrame:
+    """``(doc_id, pos, tag, text)``: each document laid out as a flattened
+    memo.  Five header blocks (classification and date; category FOR
+    addressee; FROM; SUBJECT; a reference line), one block per non-empty
+    line of the text with a paragraph mark chosen by ``(doc_id + pos) % 6``,
+    and a footer on every third document.  Some documents carry the known
+    defects: two FOR (``% 23``), no FROM (``% 13``), no dash (``% 31``),
+    co-authors with an en dash (``% 7``), no SUBJECT colon (``% 29``), a
+    header line holding FROM too (``% 11``), two approvals (``% 27``)."""
+    doc = document_view(documents).select(
+        F.col("uid").cast("long").alias("doc_id"), "classification", "doc_date",
+        "from_bur", "from_auth", "title", "full_text")
+    d = F.col("doc_id")
+    s = lambda x: x.cast("string")
+    cls_line = F.concat(F.upper("classification"), F.lit(" "), F.col("doc_date"))
+    h0 = F.when(d % 11 == 0, F.concat(cls_line, F.lit(" FROM: "), F.col("from_bur"),
+                                       F.lit(" - "), F.col("from_auth"))).otherwise(cls_line)
+    cat = F.when(d % 2 == 0, F.lit("Information Memo")).otherwise(F.lit("Action Memo"))
+    addr = F.when(d % 4 < 2, F.lit("The Secretary")).otherwise(F.lit("The Deputy Secretary"))
+    h1 = F.when(d % 23 == 0, F.concat(cat, F.lit(" FOR "), addr, F.lit(" FOR Staff"))) \
+        .otherwise(F.concat(cat, F.lit(" FOR "), addr))
+    h2 = (F.when(d % 13 == 0, F.lit("DRAFT"))
+          .when(d % 31 == 0, F.concat(F.lit("FROM: "), F.col("from_bur"), F.lit(" "),
+                                      F.col("from_auth")))
+          .when(d % 7 == 0, F.concat(F.lit("FROM: "), F.col("from_bur"), F.lit(" – "),
+                                     F.col("from_auth"), F.lit(" and Author "), s(d % 5)))
+          .otherwise(F.concat(F.lit("FROM: "), F.col("from_bur"), F.lit(" - "),
+                              F.col("from_auth"))))
+    h3 = F.when(d % 29 == 0, F.concat(F.lit("SUBJECT "), F.col("title"))) \
+        .otherwise(F.concat(F.lit("SUBJECT: "), F.col("title")))
+    h4 = F.concat(F.lit("REF: "), s(d))
+    header = doc.select("doc_id", F.posexplode(F.array(h0, h1, h2, h3, h4)).alias("pos", "text"))
+
+    lines = doc.select("doc_id", F.posexplode(F.split("full_text", "\n", -1)).alias("i", "line"))
+    pos = F.col("i") + 5
+    mark = F.element_at(F.array(*[F.lit(m) for m in MARKS]),
+                        ((F.col("doc_id") + pos) % 6).cast("int") + 1)
+    body = lines.where(F.trim("line") != "").select(
+        "doc_id", pos.alias("pos"),
+        F.when(mark == "", F.col("line"))
+        .otherwise(F.concat(F.lit("("), mark, F.lit(") "), F.col("line"))).alias("text"))
+
+    n4 = F.lpad(s(d % 10000), 4, "0")
+    f = [
+        F.when(d % 6 == 0, F.concat(F.lit("Attachments: "), s(d % 4))),
+        F.concat(F.lit("Approved: "), F.col("from_bur"), F.lit(" - Director "), s(d % 9)),
+        F.when(d % 27 == 0, F.concat(F.lit("Approved: "), F.col("from_bur"),
+                                     F.lit(" - Deputy "), s(d % 5)))
+        .otherwise(F.concat(F.lit("Drafted: "), F.col("from_bur"), F.lit(" - Officer "),
+                            s(d % 11), F.lit(", x"), s(d % 9), F.lit("-"), n4,
+                            F.lit(" and 202-555-"), n4)),
+        F.concat(F.lit("Cleared: "), F.col("from_bur"), F.lit("/Clearer "), s(d % 5)),
+        F.concat(F.lit("OES - Reviewer "), s(d % 7)),
+        F.lit("L - Counsel"),
+    ]
+    nl = F.size(F.split("full_text", "\n", -1))
+    footer = (doc.where(d % 3 == 0)
+              .select("doc_id", nl.alias("nl"), F.posexplode(F.array(*f)).alias("k", "text"))
+              .where(F.col("text").isNotNull())
+              .select("doc_id", (F.col("nl") + 5 + F.col("k")).alias("pos"), "text"))
+    return (header.unionByName(body).unionByName(footer)
+            .select("doc_id", F.col("pos").cast("int").alias("pos"), F.lit("p").alias("tag"),
+                    "text"))
+
+
+def memo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memo_blocks_view(read(spark, sf_dir, "documents"))

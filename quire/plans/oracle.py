@@ -241,3 +241,243 @@ ORACLE: dict[str, str] = {
                round(r.score, 6) AS score
         FROM r JOIN document d ON d.uid = r.uid_2 WHERE r.rank <= {config.RELATED_LIMIT}""",
 }
+
+
+# ---------------------------------------------------------------- memos
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+MEMO_BLOCKS = """
+mdoc AS (
+  SELECT CAST(uid AS BIGINT) AS doc_id, classification, doc_date, from_bur, from_auth, title,
+         full_text FROM document
+),
+mhead AS (
+  SELECT doc_id, unnest(arr) AS text, generate_subscripts(arr, 1) - 1 AS pos FROM (
+    SELECT doc_id, [
+      CASE WHEN doc_id % 11 = 0
+           THEN upper(classification) || ' ' || doc_date || ' FROM: ' || from_bur || ' - ' || from_auth
+           ELSE upper(classification) || ' ' || doc_date END,
+      CASE WHEN doc_id % 23 = 0
+           THEN (CASE WHEN doc_id % 2 = 0 THEN 'Information Memo' ELSE 'Action Memo' END)
+                || ' FOR ' || (CASE WHEN doc_id % 4 < 2 THEN 'The Secretary' ELSE 'The Deputy Secretary' END)
+                || ' FOR Staff'
+           ELSE (CASE WHEN doc_id % 2 = 0 THEN 'Information Memo' ELSE 'Action Memo' END)
+                || ' FOR ' || (CASE WHEN doc_id % 4 < 2 THEN 'The Secretary' ELSE 'The Deputy Secretary' END)
+      END,
+      CASE WHEN doc_id % 13 = 0 THEN 'DRAFT'
+           WHEN doc_id % 31 = 0 THEN 'FROM: ' || from_bur || ' ' || from_auth
+           WHEN doc_id % 7 = 0 THEN 'FROM: ' || from_bur || ' – ' || from_auth || ' and Author '
+                                    || CAST(doc_id % 5 AS VARCHAR)
+           ELSE 'FROM: ' || from_bur || ' - ' || from_auth END,
+      CASE WHEN doc_id % 29 = 0 THEN 'SUBJECT ' || title ELSE 'SUBJECT: ' || title END,
+      'REF: ' || CAST(doc_id AS VARCHAR)
+    ] AS arr FROM mdoc)
+),
+mlines AS (
+  SELECT doc_id, unnest(string_split(full_text, chr(10))) AS line,
+         generate_subscripts(string_split(full_text, chr(10)), 1) - 1 AS i FROM mdoc
+),
+mbody AS (
+  SELECT doc_id, i + 5 AS pos,
+         CASE WHEN mk = '' THEN line ELSE '(' || mk || ') ' || line END AS text
+  FROM (SELECT *, (['SBU', 'C', 'S', 'noforn', 'U', ''])[CAST((doc_id + i + 5) % 6 AS INTEGER) + 1] AS mk
+        FROM mlines)
+  WHERE trim(line) <> ''
+),
+mfoot0 AS (
+  SELECT doc_id, nl, unnest(arr) AS text, generate_subscripts(arr, 1) - 1 AS k FROM (
+    SELECT doc_id, len(string_split(full_text, chr(10))) AS nl, [
+      CASE WHEN doc_id % 6 = 0 THEN 'Attachments: ' || CAST(doc_id % 4 AS VARCHAR) END,
+      'Approved: ' || from_bur || ' - Director ' || CAST(doc_id % 9 AS VARCHAR),
+      CASE WHEN doc_id % 27 = 0
+           THEN 'Approved: ' || from_bur || ' - Deputy ' || CAST(doc_id % 5 AS VARCHAR)
+           ELSE 'Drafted: ' || from_bur || ' - Officer ' || CAST(doc_id % 11 AS VARCHAR) || ', x'
+                || CAST(doc_id % 9 AS VARCHAR) || '-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0')
+                || ' and 202-555-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') END,
+      'Cleared: ' || from_bur || '/Clearer ' || CAST(doc_id % 5 AS VARCHAR),
+      'OES - Reviewer ' || CAST(doc_id % 7 AS VARCHAR),
+      'L - Counsel'
+    ] AS arr FROM mdoc WHERE doc_id % 3 = 0)
+),
+mfoot AS (SELECT doc_id, nl + 5 + k AS pos, text FROM mfoot0 WHERE text IS NOT NULL),
+memo_blocks AS (
+  SELECT doc_id, CAST(pos AS INTEGER) AS pos, 'p' AS tag, text FROM (
+    SELECT doc_id, pos, text FROM mhead UNION ALL
+    SELECT doc_id, pos, text FROM mbody UNION ALL
+    SELECT doc_id, pos, text FROM mfoot)
+)"""
+
+MEMO_DEDUP = """
+mhtml AS (
+  SELECT *, '<' || tag || '>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+            || '</' || tag || '>' AS html
+  FROM memo_blocks
+),
+mfirst AS (SELECT doc_id, tag, html, min(pos) AS pos, any_value(text) AS text
+           FROM mhtml GROUP BY doc_id, tag, html),
+mdedup AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos,
+         tag, text, html FROM mfirst
+)"""
+
+_CLS = "CASE " + " ".join(
+    f"WHEN instr(lower(text), {_q(c)}) > 0 THEN {_q(c)}" for c in config.CLASSIFICATIONS) + " END"
+_DATE = "nullif(regexp_extract(text, '[JFMASOND][a-z]* [0-9]*, [0-9]...', 0), '')"
+_FROM_PARTS = ("regexp_split_to_array(" + _strip(
+    "replace(string_split(text, 'FROM:')[2], ' and ', ' - ')") + ", ' [-–] ')")
+_MARK_SPANS = "html"
+_MARK_TEXT = "text"
+for _m in config.PARA_MARKINGS:
+    _MARK_SPANS = (f"regexp_replace({_MARK_SPANS}, '\\({_m}\\)', "
+                   f"'<span class=\"label label-{_m.lower()}\">{_m}</span>', 'g')")
+    _MARK_TEXT = f"regexp_replace({_MARK_TEXT}, '\\({_m}\\)', '{_m}', 'g')"
+
+MEMO_HEADER = f"""
+hitems AS (
+  SELECT doc_id, pos, {_CLS} AS cls, {_DATE} AS dt,
+         instr(text, ' FOR ') > 0 AS is_for,
+         NOT (instr(text, ' FOR ') > 0) AND starts_with(text, 'FROM:') AS is_from,
+         NOT (instr(text, ' FOR ') > 0) AND NOT starts_with(text, 'FROM:')
+           AND starts_with(text, 'SUBJECT:') AS is_subject,
+         string_split(text, ' FOR ') AS for_parts,
+         {_FROM_PARTS} AS from_parts,
+         CASE WHEN instr(text, ': ') > 0
+              THEN {_strip("substr(text, instr(text, ': ') + 2)")} END AS title
+  FROM mdedup WHERE pos < 5
+),
+hagg AS (
+  SELECT doc_id,
+    min({{'p': pos, 'v': cls, 'd': dt}}) FILTER (WHERE cls IS NOT NULL) AS c,
+    max({{'p': pos, 'a': CASE WHEN len(for_parts) = 2 THEN for_parts[1] END,
+              'b': CASE WHEN len(for_parts) = 2 THEN for_parts[2] END}}) FILTER (WHERE is_for) AS f,
+    max({{'p': pos, 'a': CASE WHEN len(from_parts) >= 2 THEN {_strip('from_parts[1]')} END,
+              'b': CASE WHEN len(from_parts) >= 2 THEN {_strip('from_parts[2]')} END}})
+      FILTER (WHERE is_from) AS m,
+    max({{'p': pos, 'a': title}}) FILTER (WHERE is_subject) AS s
+  FROM hitems GROUP BY doc_id
+),
+header AS (
+  SELECT doc_id,
+    coalesce(c.v, 'unknown') AS classification,
+    coalesce(c.d, 'unknown') AS doc_date,
+    CASE WHEN f IS NULL THEN 'The Secretary' ELSE coalesce(f.b, 'unknown') END AS addressee,
+    CASE WHEN f IS NULL THEN 'Information Memo' ELSE coalesce(f.a, 'unknown') END AS category,
+    coalesce(m.a, 'unknown') AS from_bur,
+    coalesce(m.b, 'unknown') AS from_auth,
+    coalesce(s.a, 'unknown') AS title
+  FROM hagg
+)"""
+
+MEMO_BODY_FOOTER = f"""
+mpos0 AS (
+  SELECT *,
+    min(CASE WHEN regexp_matches(text, '^SUBJECT:') THEN pos END) OVER (PARTITION BY doc_id) AS st,
+    count(CASE WHEN starts_with(text, 'Approved:') THEN 1 END) OVER (PARTITION BY doc_id) AS n_appr,
+    min(CASE WHEN starts_with(text, 'Approved:') THEN pos END) OVER (PARTITION BY doc_id) AS appr
+  FROM mdedup
+),
+mpos AS (
+  SELECT *, min(CASE WHEN starts_with(text, 'Cleared:') AND pos >= appr THEN pos END)
+              OVER (PARTITION BY doc_id) AS clr
+  FROM mpos0
+),
+body AS (
+  SELECT doc_id, bool_or(st IS NOT NULL) AS has_start,
+    coalesce(string_agg({_MARK_SPANS}, ' ' ORDER BY pos) FILTER (WHERE pos > st), '') AS h,
+    coalesce(string_agg({_MARK_TEXT}, ' ' ORDER BY pos) FILTER (WHERE pos > st), '') AS t
+  FROM mpos GROUP BY doc_id
+),
+body_out AS (
+  SELECT doc_id,
+    {_strip("regexp_replace(CASE WHEN has_start THEN t ELSE 'Could not locate start of document - check logs' END, '\\s+', ' ', 'g')")} AS full_text,
+    concat_ws(' ', '<div class="document">',
+              CASE WHEN has_start THEN h ELSE '<p>Could not locate start of document - check logs</p>' END,
+              '</div>') AS html
+  FROM body
+),
+fitems AS (
+  SELECT *,
+    regexp_split_to_array(string_split(text, ':')[2], ' [-–] ') AS appr_parts,
+    string_split(substr(text, instr(text, ':') + 1), ',') AS data_parts
+  FROM mpos
+),
+fitems2 AS (
+  SELECT *,
+    regexp_split_to_array(data_parts[1], ' [-–] ') AS person,
+    nullif(regexp_extract(data_parts[2], '[0-9]-[0-9]...', 0), '') AS ext,
+    nullif(regexp_extract(data_parts[2], '[0-9]..-[0-9]..-[0-9]...', 0), '') AS phone
+  FROM fitems
+),
+footer AS (
+  SELECT doc_id,
+    CAST(coalesce(max(CAST(starts_with(text, 'Attachments:') AS INTEGER)), 0) AS INTEGER) AS has_attachments,
+    max({{'a': {_strip('appr_parts[1]')}, 'b': {_strip('appr_parts[2]')}}})
+      FILTER (WHERE n_appr = 1 AND pos = appr AND len(appr_parts) = 2) AS ap,
+    max({{'p': pos, 'bur': {_strip('person[1]')}, 'name': {_strip('person[2]')}, 'ext': ext, 'phone': phone}})
+      FILTER (WHERE n_appr = 1 AND starts_with(text, 'Drafted:') AND pos >= appr
+              AND (clr IS NULL OR pos < clr) AND len(data_parts) = 2 AND len(person) = 2
+              AND ext IS NOT NULL AND phone IS NOT NULL) AS dr,
+    list(CASE WHEN pos = clr THEN string_split(text, ': ')[2] ELSE text END ORDER BY pos)
+      FILTER (WHERE n_appr = 1 AND pos >= clr
+              AND (pos > clr OR len(string_split(text, ': ')) >= 2)) AS cl
+  FROM fitems2 GROUP BY doc_id
+),
+footer_out AS (
+  SELECT doc_id, has_attachments, CAST(NULL AS VARCHAR) AS attach_urls,
+    ap.a AS approved_bur, ap.b AS approved_name, dr.bur AS draft_bur, dr.name AS draft_name,
+    dr.ext AS draft_ext, dr.phone AS draft_phone, coalesce(cl, []::VARCHAR[]) AS clear_blob
+  FROM footer
+)"""
+
+MEMO = with_(DOCUMENT, MEMO_BLOCKS, MEMO_DEDUP)
+MEMO_ALL = with_(DOCUMENT, MEMO_BLOCKS, MEMO_DEDUP, MEMO_HEADER, MEMO_BODY_FOOTER)
+MEMO_PARSED = """
+SELECT h.doc_id, h.classification, h.doc_date, h.addressee, h.category, h.from_bur, h.from_auth,
+       h.title, b.full_text, b.html, f.has_attachments, f.attach_urls, f.approved_bur,
+       f.approved_name, f.draft_bur, f.draft_name, f.draft_ext, f.draft_phone, f.clear_blob
+FROM header h JOIN body_out b ON h.doc_id = b.doc_id JOIN footer_out f ON h.doc_id = f.doc_id"""
+
+_REPAIR = [("SUBJECT\\s?:", "SUBJECT:"), ("FROM\\s?:", "FROM:")] + [
+    (c.upper(), c.upper()) for c in config.CLASSIFICATIONS]
+
+
+def _repair_sql() -> str:
+    steps = ["r0 AS (SELECT doc_id, pos, text AS rem FROM memo_blocks WHERE pos < 3)"]
+    carried = []
+    for j, (pat, tag) in enumerate(_REPAIR):
+        prev = f"r{j}"
+        cols = ", ".join(["doc_id", "pos"] + carried)
+        after = _strip(f"regexp_extract(rem, '(?s)^.*?(?:{pat})(.*)$', 1)")
+        steps.append(
+            f"r{j + 1} AS (SELECT {cols}, CASE WHEN regexp_matches(rem, '{pat}') "
+            f"THEN '{tag} ' || {after} END AS p{j}, "
+            f"CASE WHEN regexp_matches(rem, '{pat}') "
+            f"THEN regexp_extract(rem, '(?s)^(.*?)(?:{pat})', 1) ELSE rem END AS rem FROM {prev})")
+        carried.append(f"p{j}")
+    last = f"r{len(_REPAIR)}"
+    pieces = "[" + ", ".join(f"p{j}" for j in reversed(range(len(_REPAIR)))) + "]"
+    return (MEMO.rstrip("\n") + ",\n" + ",\n".join(steps) + f"""
+, rl AS (SELECT doc_id, pos, list_filter({pieces}, lambda x: x IS NOT NULL) AS ps FROM {last})
+SELECT doc_id, pos, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS sub, unnest(ps) AS text FROM rl""")
+
+
+ORACLE.update({
+    "memo_dedup": MEMO + "SELECT doc_id, pos, tag, text, html FROM mdedup",
+    "memo_line_numbers": MEMO + """SELECT doc_id, list(pos ORDER BY pos) AS positions
+        FROM mdedup WHERE regexp_matches(text, '^\\(U\\)') GROUP BY doc_id""",
+    "memo_header": MEMO_ALL + "SELECT * FROM header",
+    "memo_parse": MEMO_ALL + MEMO_PARSED,
+    "memo_records": MEMO_ALL + """, parsed AS (""" + MEMO_PARSED + """)
+        SELECT classification, doc_date, addressee, category, from_bur, from_auth, title,
+               full_text, html, CAST(doc_id AS VARCHAR) || '.htm' AS file_name, has_attachments,
+               attach_urls, approved_bur, approved_name, draft_bur, draft_name, draft_ext,
+               draft_phone, to_json(clear_blob)::VARCHAR AS clear_blob
+        FROM parsed""",
+    "paragraph_marks": MEMO + """SELECT doc_id, pos,
+        regexp_extract(text, '^\\((SBU|C|S|noforn|U)\\)', 1) AS mark
+        FROM mdedup WHERE regexp_extract(text, '^\\((SBU|C|S|noforn|U)\\)', 1) <> ''""",
+    "header_repair": _repair_sql(),
+})

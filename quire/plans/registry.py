@@ -161,6 +161,49 @@ def related_all(spark, sf_dir):
     return _r6(S.related_all(doc, S.pair_table(doc)), "score")
 
 
+def _memo(spark, sf_dir):
+    from quire.operators import memo
+    return memo.dedup_blocks(fixtures.memo_blocks(spark, sf_dir))
+
+
+def memo_dedup(spark, sf_dir):
+    return _memo(spark, sf_dir)
+
+
+def memo_line_numbers(spark, sf_dir):
+    from quire.operators import memo
+    return memo.line_numbers(_memo(spark, sf_dir), r"^\(U\)")
+
+
+def memo_header(spark, sf_dir):
+    from quire.operators import memo
+    return memo.parse_header(_memo(spark, sf_dir))
+
+
+def memo_parse(spark, sf_dir):
+    from quire.operators import memo
+    return memo.parse(_memo(spark, sf_dir), has_footer=True)
+
+
+def memo_records(spark, sf_dir):
+    from quire.operators import memo
+    parsed = memo.parse(_memo(spark, sf_dir), has_footer=True)
+    rec = memo.to_records(parsed, F.concat(F.col("doc_id").cast("string"), F.lit(".htm")))
+    return rec.drop("uid", "u_date")
+
+
+def paragraph_marks(spark, sf_dir):
+    from quire.operators import memo
+    b = _memo(spark, sf_dir)
+    return b.select("doc_id", "pos", memo.paragraph_mark("text").alias("mark")) \
+        .where(F.col("mark").isNotNull())
+
+
+def header_repair(spark, sf_dir):
+    from quire.operators import memo
+    return memo.repair_header(fixtures.memo_blocks(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "related_on_demand": related_on_demand,
     "tokens": tokens,
@@ -188,4 +231,11 @@ QUERIES: dict[str, Query] = {
     "similar_titles_for": similar_titles_for,
     "related": related,
     "related_all": related_all,
+    "memo_dedup": memo_dedup,
+    "memo_line_numbers": memo_line_numbers,
+    "memo_header": memo_header,
+    "memo_parse": memo_parse,
+    "memo_records": memo_records,
+    "paragraph_marks": paragraph_marks,
+    "header_repair": header_repair,
 }
