@@ -128,3 +128,37 @@ def memo_blocks_view(documents: DataFrame) -> DataFrame:
 
 def memo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memo_blocks_view(read(spark, sf_dir, "documents"))
+
+
+def scrape_pages_view(pages: DataFrame) -> DataFrame:
+    """``pages`` with the article wrapped in a known id: odd pages use the
+    first configured id, even pages the second, every tenth page none."""
+    p = F.col("page_id")
+    ids = config.SCRAPE_HTML_IDS
+    tag = F.when(p % 2 == 1, F.lit(f'<article id="{ids[0]}">')) \
+        .otherwise(F.lit(f'<article id="{ids[1]}">'))
+    html = F.when(p % 10 == 0, F.col("html")).otherwise(
+        F.replace(F.col("html"), F.lit("<article>"), tag))
+    return pages.select("page_id", "url", html.alias("html"))
+
+
+def fetched_pages_view(pages: DataFrame) -> DataFrame:
+    """``pages`` with a fetch status: every 17th page failed (404)."""
+    status = F.when(F.col("page_id") % 17 == 0, F.lit(404)).otherwise(F.lit(200))
+    return pages.select("page_id", "url", "html", status.alias("status"))
+
+
+def _escape_all(c: Column) -> Column:
+    out = c
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"),
+                 ("'", "&#x27;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def descriptions_view(pages: DataFrame) -> DataFrame:
+    """Feed items from ``pages``: the escaped page title followed by an
+    escaped ``<div>`` carrying the url, as feeds deliver descriptions."""
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    raw = F.concat(title, F.lit('<div class="more">'), F.col("url"), F.lit("</div>"))
+    return pages.select("page_id", _escape_all(raw).alias("description"))

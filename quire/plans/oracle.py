@@ -481,3 +481,24 @@ ORACLE.update({
         FROM mdedup WHERE regexp_extract(text, '^\\((SBU|C|S|noforn|U)\\)', 1) <> ''""",
     "header_repair": _repair_sql(),
 })
+
+
+# ---------------------------------------------------------------- pages
+
+_ESC = "{0}"
+for _a, _b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+    _ESC = f"replace({_ESC}, {_q(_a)}, {_q(_b)})"
+_UNESC = "{0}"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")):
+    _UNESC = f"replace({_UNESC}, {_q(_a)}, {_q(_b)})"
+
+ORACLE.update({
+    "page_file_names": """SELECT page_id, url,
+        CASE WHEN string_split(url, '/')[-1] = '' THEN coalesce(string_split(url, '/')[-2], '')
+             ELSE string_split(url, '/')[-1] END AS file_name FROM pages""",
+    "fetched_pages": """SELECT page_id, url, 200 AS status FROM pages WHERE page_id % 17 <> 0""",
+    "removed_chars": "SELECT page_id, replace(html, chr(160), '') AS html FROM pages",
+    "descriptions": "SELECT page_id, regexp_replace(" + _UNESC.format(_ESC.format(
+        "regexp_extract(html, '<title>(.*?)</title>', 1) || '<div class=\"more\">' || url || '</div>'"))
+    + ", '(?s)<div.*', '') AS description FROM pages",
+})

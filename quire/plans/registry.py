@@ -204,6 +204,42 @@ def header_repair(spark, sf_dir):
     return memo.repair_header(fixtures.memo_blocks(spark, sf_dir))
 
 
+def _pages(spark, sf_dir):
+    return fixtures.read(spark, sf_dir, "pages")
+
+
+def page_blocks(spark, sf_dir):
+    from quire.operators import blocks
+    return blocks.page_blocks(_pages(spark, sf_dir))
+
+
+def scrape_blocks(spark, sf_dir):
+    from quire.operators import blocks
+    return blocks.scrape_blocks(fixtures.scrape_pages_view(_pages(spark, sf_dir)))
+
+
+def page_file_names(spark, sf_dir):
+    from quire.operators import blocks
+    return _pages(spark, sf_dir).select("page_id", "url", blocks.output_name("url").alias("file_name"))
+
+
+def fetched_pages(spark, sf_dir):
+    from quire.operators import blocks
+    return blocks.fetched(fixtures.fetched_pages_view(_pages(spark, sf_dir))) \
+        .select("page_id", "url", "status")
+
+
+def removed_chars(spark, sf_dir):
+    from quire.operators import blocks
+    return _pages(spark, sf_dir).select("page_id", blocks.remove_chars("html").alias("html"))
+
+
+def descriptions(spark, sf_dir):
+    from quire.operators import blocks
+    d = fixtures.descriptions_view(_pages(spark, sf_dir))
+    return d.select("page_id", blocks.trim_description("description").alias("description"))
+
+
 QUERIES: dict[str, Query] = {
     "related_on_demand": related_on_demand,
     "tokens": tokens,
@@ -238,4 +274,10 @@ QUERIES: dict[str, Query] = {
     "memo_records": memo_records,
     "paragraph_marks": paragraph_marks,
     "header_repair": header_repair,
+    "page_blocks": page_blocks,
+    "scrape_blocks": scrape_blocks,
+    "page_file_names": page_file_names,
+    "fetched_pages": fetched_pages,
+    "removed_chars": removed_chars,
+    "descriptions": descriptions,
 }
