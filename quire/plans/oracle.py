@@ -502,3 +502,49 @@ ORACLE.update({
         "regexp_extract(html, '<title>(.*?)</title>', 1) || '<div class=\"more\">' || url || '</div>'"))
     + ", '(?s)<div.*', '') AS description FROM pages",
 })
+
+
+# ---------------------------------------------------------------- entities
+
+ENTITY_DIM = """
+bw AS (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents),
+bureaus AS (
+  SELECT 'bureau' AS kind, w AS key, 'Bureau of ' || w AS name,
+         'https://example.org/bureaus/' || w AS url
+  FROM (SELECT w, count(*) AS c FROM bw WHERE length(w) BETWEEN 2 AND 4
+        GROUP BY w ORDER BY c DESC, w LIMIT 70)
+),
+partners AS (
+  SELECT DISTINCT 'partner' AS kind, k AS key, 'Partner ' || k AS name,
+         'https://example.org/partners/' || k AS url
+  FROM (SELECT regexp_extract(text, '^[\\p{L}\\p{N}_]+', 0) AS k FROM benchmark) WHERE k <> ''
+),
+cw AS (SELECT unnest(regexp_extract_all(text, '\\p{Lu}\\p{Ll}{4,}')) AS w FROM conversations),
+countries AS (
+  SELECT 'country' AS kind, w AS key, w AS name, 'https://example.org/countries/' || w AS url
+  FROM (SELECT w, count(*) AS c FROM cw GROUP BY w ORDER BY c DESC, w LIMIT 200)
+),
+entity_dim AS (
+  SELECT * FROM bureaus UNION ALL SELECT * FROM partners UNION ALL SELECT * FROM countries
+)"""
+
+ORACLE.update({
+    "entity_dim": with_(ENTITY_DIM) + "SELECT kind, key, name, url FROM entity_dim",
+    "entity_matches": with_(DOCUMENT, ENTITY_DIM) + """,
+        runs AS (
+          SELECT uid, regexp_extract_all(full_text, '[\\p{L}\\p{N}_]+') AS r,
+                 regexp_matches(full_text, '^[\\p{L}\\p{N}_]') AS ws,
+                 regexp_matches(full_text, '[\\p{L}\\p{N}_]$') AS we
+          FROM document
+        ),
+        inner_words AS (
+          SELECT DISTINCT uid, unnest(r[CASE WHEN ws THEN 2 ELSE 1 END :
+                                       CASE WHEN we THEN len(r) - 1 ELSE len(r) END]) AS w
+          FROM runs
+        )
+        SELECT i.uid, e.kind, e.key AS entity_key, e.name, e.url
+        FROM inner_words i JOIN entity_dim e ON e.kind = 'bureau' AND i.w = e.key
+        UNION ALL
+        SELECT d.uid, e.kind, e.key AS entity_key, e.name, e.url
+        FROM document d JOIN entity_dim e ON e.kind <> 'bureau' AND contains(d.full_text, e.key)""",
+})

@@ -240,6 +240,16 @@ def descriptions(spark, sf_dir):
     return d.select("page_id", blocks.trim_description("description").alias("description"))
 
 
+def entity_dim(spark, sf_dir):
+    return fixtures.entity_dim(spark, sf_dir)
+
+
+def entity_matches(spark, sf_dir):
+    from quire.operators import entities
+    doc = _doc(spark, sf_dir).select("uid", "full_text")
+    return entities.match(doc, fixtures.entity_dim(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "related_on_demand": related_on_demand,
     "tokens": tokens,
@@ -280,4 +290,6 @@ QUERIES: dict[str, Query] = {
     "fetched_pages": fetched_pages,
     "removed_chars": removed_chars,
     "descriptions": descriptions,
+    "entity_dim": entity_dim,
+    "entity_matches": entity_matches,
 }
