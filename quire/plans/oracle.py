@@ -548,3 +548,25 @@ ORACLE.update({
         SELECT d.uid, e.kind, e.key AS entity_key, e.name, e.url
         FROM document d JOIN entity_dim e ON e.kind <> 'bureau' AND contains(d.full_text, e.key)""",
 })
+
+
+# ---------------------------------------------------------------- tables
+
+ORACLE.update({
+    "actions": """SELECT CAST(user_id AS VARCHAR) AS pid, event_type AS action,
+        CAST(event_id AS VARCHAR) AS rid, ts AS datetime FROM events""",
+    "similar_upsert": SIM + """,
+        fresh AS (SELECT uid_1, uid_2, score FROM sim),
+        old AS (SELECT uid_1, uid_2, round(score, 2) AS score FROM fresh),
+        new AS (SELECT f.* FROM fresh f WHERE f.uid_1 IN (SELECT uid FROM document WHERE category = 'en'))
+        SELECT uid_1, uid_2, round(score, 6) AS score FROM (
+          SELECT o.* FROM old o ANTI JOIN new n ON o.uid_1 = n.uid_1 AND o.uid_2 = n.uid_2
+          UNION ALL SELECT * FROM new)""",
+    "document_with_top_terms": DOC_TT + """SELECT uid, u_date, doc_date, addressee, classification,
+        category, from_bur, from_auth, title, file_name, has_attachments,
+        CAST(NULL AS VARCHAR) AS attach_urls, CAST(NULL AS VARCHAR) AS approved_bur,
+        CAST(NULL AS VARCHAR) AS approved_name, CAST(NULL AS VARCHAR) AS draft_bur,
+        CAST(NULL AS VARCHAR) AS draft_name, CAST(NULL AS VARCHAR) AS draft_ext,
+        CAST(NULL AS VARCHAR) AS draft_phone, CAST(NULL AS VARCHAR) AS clear_blob, top_terms
+        FROM doc_tt""",
+})

@@ -250,6 +250,37 @@ def entity_matches(spark, sf_dir):
     return entities.match(doc, fixtures.entity_dim(spark, sf_dir))
 
 
+def actions(spark, sf_dir):
+    from quire.streaming import ledger
+    return ledger.actions(fixtures.read(spark, sf_dir, "events"))
+
+
+def ingest_pages(spark, sf_dir):
+    from quire.plans import ingest
+    return ingest.page_records(_pages(spark, sf_dir)).drop("uid", "u_date")
+
+
+def table_files(spark, sf_dir):
+    from quire.sources import files
+    return files.list_files(spark, sf_dir, "*.parquet")
+
+
+def similar_upsert(spark, sf_dir):
+    """Upsert a partial recompute (pairs of English documents) into an
+    older pair table (scores kept to 2 digits)."""
+    from quire.sources import tables
+    doc = _doc(spark, sf_dir)
+    fresh = S.pair_table(doc)
+    old = fresh.withColumn("score", F.round("score", 2))
+    en = doc.where(F.col("category") == "en").select(F.col("uid").alias("uid_1"))
+    new = fresh.join(en, "uid_1", "left_semi")
+    return _r6(tables.upsert(old, new, ["uid_1", "uid_2"]), "score")
+
+
+def document_with_top_terms(spark, sf_dir):
+    return analysis.with_top_terms(_doc(spark, sf_dir)).drop("html", "full_text")
+
+
 QUERIES: dict[str, Query] = {
     "related_on_demand": related_on_demand,
     "tokens": tokens,
@@ -292,4 +323,9 @@ QUERIES: dict[str, Query] = {
     "descriptions": descriptions,
     "entity_dim": entity_dim,
     "entity_matches": entity_matches,
+    "actions": actions,
+    "ingest_pages": ingest_pages,
+    "table_files": table_files,
+    "similar_upsert": similar_upsert,
+    "document_with_top_terms": document_with_top_terms,
 }
