@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire import config
 from quire.functions import html as H
@@ -99,7 +100,7 @@ def remove_chars(c: str | Column, chars: str = config.REMOVE_CHARS) -> Column:
     return F.translate(col, chars, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     import html as _html
     return s.map(lambda x: None if x is None else _html.unescape(x))

@@ -318,9 +318,9 @@ def to_records(parsed: DataFrame, file_name: str | Column, uid: Column | None =
     uid = F.expr("uuid()") if uid is None else uid
     today = F.date_format(F.current_date(), "yyyy-MM-dd") if today is None else today
     return parsed.select(
-        uid.alias("uid"), today.alias("u_date"), *[F.col(c) for c in HEADER],
-        "full_text", "html", _c(file_name).alias("file_name"),
-        *[F.col(c) for c in FOOTER[:-1]],
+        uid.alias("uid"), today.alias("u_date"), "doc_date", "addressee", "classification",
+        "category", "from_bur", "from_auth", "title", "full_text", "html",
+        _c(file_name).alias("file_name"), *[F.col(c) for c in FOOTER[:-1]],
         F.to_json("clear_blob").alias("clear_blob"))
 
 

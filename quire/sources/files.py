@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENCODING = "ISO-8859-1"
+BINARY_FILE_SCHEMA = ("path string, modificationTime timestamp, length long, "
+                      "content binary")
 
 
 def _decode(df: DataFrame, encoding: str) -> DataFrame:
@@ -34,7 +36,8 @@ def stream_html_files(spark: SparkSession, folder: str, glob: str = "*",
                       encoding: str = ENCODING, max_files_per_trigger: int | None = None
                       ) -> DataFrame:
     """Streaming form of ``read_html_files``: new files only (O-51)."""
-    r = spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
+    r = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+         .option("pathGlobFilter", glob))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return _decode(r.load(folder), encoding)
