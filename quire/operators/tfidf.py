@@ -33,6 +33,31 @@ def tokenize(docs: DataFrame, key: str | list[str] = "uid", text: str = "full_te
     return T.drop_stop_words(raw, "_raw", "tokens", stop_words).select(*keys, "tokens")
 
 
+def stop_word_table(spark, stop_words: list[str] | None = None) -> DataFrame:
+    words = config.english_stop_words() if stop_words is None else list(stop_words)
+    return spark.createDataFrame([(w,) for w in words], "term string")
+
+
+def unigram_counts(docs: DataFrame, key: str | list[str] = "uid", text: str = "full_text",
+                   stop_words: list[str] | None = None) -> DataFrame:
+    """Postings ``(key..., term, tf)`` of single words.  Stop words are
+    dropped with an anti-join against the stop list, broadcast because the
+    list is a fixed, small parameter; this avoids rebuilding token arrays."""
+    keys = _keys(key)
+    raw = docs.select(*keys, F.explode(T.raw_tokens(text)).alias("term"))
+    stop = F.broadcast(stop_word_table(docs.sparkSession, stop_words))
+    kept = raw.join(stop, "term", "left_anti")
+    return kept.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def postings(docs: DataFrame, key: str | list[str] = "uid", text: str = "full_text",
+             n_max: int = 1, stop_words: list[str] | None = None) -> DataFrame:
+    """Postings of 1..n_max-grams; single words take the cheaper path."""
+    if n_max == 1:
+        return unigram_counts(docs, key, text, stop_words)
+    return term_counts(tokenize(docs, key, text, stop_words), key, n_max)
+
+
 def term_counts(tokens: DataFrame, key: str | list[str] = "uid",
                 n_max: int = 1) -> DataFrame:
     """Postings ``(key..., term, tf)`` of the 1..n_max-grams (O-31)."""
@@ -59,8 +84,7 @@ def weights(postings: DataFrame, n_docs: Column, key: str = "uid") -> DataFrame:
 def tfidf(docs: DataFrame, key: str = "uid", text: str = "full_text",
           n_max: int = 1, stop_words: list[str] | None = None) -> DataFrame:
     """Weighted postings of a document table in one call."""
-    toks = tokenize(docs, key, text, stop_words)
-    return weights(term_counts(toks, key, n_max), n_documents(docs), key)
+    return weights(postings(docs, key, text, n_max, stop_words), n_documents(docs), key)
 
 
 def ranked_terms(weighted: DataFrame, key: str = "uid") -> DataFrame:
