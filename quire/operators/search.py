@@ -79,13 +79,19 @@ def detail(document: DataFrame, uid: str) -> DataFrame:
                     T.classification_label("classification").alias("label"))
 
 
+def newest(document: DataFrame, n_docs: int = config.TRENDING_DOCS,
+           columns: tuple[str, ...] = ("uid",)) -> DataFrame:
+    """The ``n_docs`` newest documents by ``u_date`` (ties by uid)."""
+    return (document.select("uid", "u_date", *[c for c in columns if c != "uid"])
+            .orderBy(F.col("u_date").desc(), F.col("uid")).limit(n_docs))
+
+
 def trending(document: DataFrame, n_docs: int = config.TRENDING_DOCS,
              k: int = config.TRENDING_TERMS, offset: int = 0) -> DataFrame:
     """Trending terms (O-42, O-50): the top terms of the ``n_docs`` newest
     documents (``u_date``), counted, by (count, term) descending, ``k``
     after ``offset``."""
-    recent = (document.select("uid", "u_date", "top_terms")
-              .orderBy(F.col("u_date").desc(), F.col("uid")).limit(n_docs))
+    recent = newest(document, n_docs, ("uid", "top_terms"))
     terms = recent.select(F.explode(T.csv_to_array("top_terms")).alias("term")) \
         .where(F.col("term") != "")
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))

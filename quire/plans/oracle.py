@@ -243,6 +243,9 @@ ORACLE: dict[str, str] = {
 }
 
 
+ORACLE["related_all_stored"] = ORACLE["related_all"]
+
+
 # ---------------------------------------------------------------- memos
 
 def _strip(x: str) -> str:

@@ -83,7 +83,11 @@ def parity(spark, sf_dir):
 
 
 def trending(spark, sf_dir):
-    return search.trending(analysis.with_top_terms(_doc(spark, sf_dir)))
+    # only the newest documents need ranked terms (df still counts all)
+    doc = _doc(spark, sf_dir)
+    recent = search.newest(doc)
+    top = analysis.document_top_terms(doc, only=recent)
+    return search.trending(recent.join(top, "uid"))
 
 
 def feed(spark, sf_dir):
@@ -108,7 +112,10 @@ def search_quoted(spark, sf_dir):
 
 
 def detail(spark, sf_dir):
-    return search.detail(analysis.with_top_terms(_doc(spark, sf_dir)), SAMPLE_UID)
+    doc = _doc(spark, sf_dir)
+    one = doc.where(F.col("uid") == SAMPLE_UID)
+    top = analysis.document_top_terms(doc, only=one.select("uid"))
+    return search.detail(one.drop("top_terms").join(top, "uid"), SAMPLE_UID)
 
 
 def category_filter(spark, sf_dir):
@@ -157,6 +164,10 @@ def related(spark, sf_dir):
 
 
 def related_all(spark, sf_dir):
+    return _r6(S.related_all_on_demand(_doc(spark, sf_dir)), "score")
+
+
+def related_all_stored(spark, sf_dir):
     doc = _doc(spark, sf_dir)
     return _r6(S.related_all(doc, S.pair_table(doc)), "score")
 
@@ -308,6 +319,7 @@ QUERIES: dict[str, Query] = {
     "similar_titles_for": similar_titles_for,
     "related": related,
     "related_all": related_all,
+    "related_all_stored": related_all_stored,
     "memo_dedup": memo_dedup,
     "memo_line_numbers": memo_line_numbers,
     "memo_header": memo_header,
