@@ -52,10 +52,15 @@ def unigram_counts(docs: DataFrame, key: str | list[str] = "uid", text: str = "f
 
 def postings(docs: DataFrame, key: str | list[str] = "uid", text: str = "full_text",
              n_max: int = 1, stop_words: list[str] | None = None) -> DataFrame:
-    """Postings of 1..n_max-grams; single words take the cheaper path."""
+    """Postings of 1..n_max-grams; single words take the cheaper path.
+
+    For n-grams the texts are first hash-partitioned by document: the
+    n-gram rows are several times larger than the text, and with whole
+    documents in each partition the per-document count needs no shuffle."""
     if n_max == 1:
         return unigram_counts(docs, key, text, stop_words)
-    return term_counts(tokenize(docs, key, text, stop_words), key, n_max)
+    keys = _keys(key)
+    return term_counts(tokenize(docs.repartition(*keys), key, text, stop_words), key, n_max)
 
 
 def term_counts(tokens: DataFrame, key: str | list[str] = "uid",
