@@ -27,6 +27,7 @@ HEADLINE = [
     "top_terms",           # 1-3-gram TF-IDF, band filter, top 3 per document
     "trending",            # top terms of the newest documents
     "term_statistics",     # per n-gram document count and weight sum
+    "ngram_postings",      # 1-3-gram expansion and per-document counts
     "feed",
     "search",
     "detail",
