@@ -55,8 +55,7 @@ def tfidf_unigram(spark, sf_dir):
 
 
 def ngram_postings(spark, sf_dir):
-    toks = tfidf.tokenize(_doc(spark, sf_dir))
-    return tfidf.term_counts(toks, "uid", config.NGRAM_MAX)
+    return tfidf.postings(_doc(spark, sf_dir), "uid", "full_text", config.NGRAM_MAX)
 
 
 def ranked_terms(spark, sf_dir):
