@@ -99,3 +99,16 @@ def test_parity_raises_on_mismatch(spark):
     d = spark.createDataFrame([("a", "x y"), (None, "z")], "uid string, full_text string")
     with pytest.raises(Exception):
         tfidf.parity(d, tfidf.tokenize(d)).collect()
+
+
+@pytest.mark.parametrize("cutoff", [0.95, 1.5])
+def test_batch_related_equals_stored_form_with_copies(spark, cutoff):
+    texts = (["red green blue"] * 6 + ["red green", "green blue", "blue red", "red",
+                                       "yellow green", "violet"])
+    d = spark.createDataFrame([(f"u{i:02d}", f"t {i}", t) for i, t in enumerate(texts)],
+                              "uid string, title string, full_text string")
+    a = {(r["uid_1"], r["rank"], r["uid"], round(r["score"], 9))
+         for r in S.related_all_on_demand(d, k=3, cutoff=cutoff).collect()}
+    b = {(r["uid_1"], r["rank"], r["uid"], round(r["score"], 9))
+         for r in S.related_all(d, S.pair_table(d), k=3, cutoff=cutoff).collect()}
+    assert a == b and len(a) > 0
