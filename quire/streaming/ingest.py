@@ -3,15 +3,16 @@
 Each micro-batch goes through the same batch functions as the one-shot
 ingest (``quire.plans.ingest``) inside ``foreachBatch``; the block job is a
 per-file map and the memo parse groups by file, so every batch is
-self-contained and no state crosses batches.  Output is appended to a
-Parquet table; the checkpoint makes a restarted query skip files already
-done, and a batch id column lets a re-run of the same batch be recognised.
+self-contained and no state crosses batches.  Output goes to a Parquet
+table; the checkpoint makes a restarted query skip files already
+done, and each micro-batch overwrites its own ``batch_id=N`` partition, so
+a batch replayed after a failure replaces its rows instead of adding them
+again (exactly-once output).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.sources import files
@@ -29,7 +30,7 @@ def start(spark: SparkSession, folder: str, table_path: str, checkpoint: str,
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = ingest.records_from_files(batch, has_footer=has_footer,
                                          content_uid=content_uid)
-        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(table_path)
+        rows.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
 
     w = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
