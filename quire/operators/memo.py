@@ -26,7 +26,6 @@ REPAIR_PATTERNS = ([(r"SUBJECT\s?:", "SUBJECT:"), (r"FROM\s?:", "FROM:")]
                    + [(c.upper(), c.upper()) for c in config.CLASSIFICATIONS])
 # --- end of fixed values ---
 
-BIG = 2 ** 31 - 1
 
 
 def _c(c: str | Column) -> Column:
