@@ -56,8 +56,10 @@ def with_html(blocks: DataFrame) -> DataFrame:
 
 def dedup_blocks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Ordered de-duplication within a document, first wins (O-20); the
-    kept blocks are renumbered 0.. in order."""
-    b = with_html(blocks)
+    kept blocks are renumbered 0.. in order.  Blocks are hash-partitioned by
+    document once; the de-duplication, the renumbering window and a later
+    parse by document all reuse that partitioning."""
+    b = with_html(blocks).repartition(key)
     first = b.groupBy(key, "tag", "html").agg(F.min("pos").alias("pos"),
                                               F.first("text").alias("text"))
     w = Window.partitionBy(key).orderBy("pos")

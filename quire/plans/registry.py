@@ -278,9 +278,10 @@ def table_files(spark, sf_dir):
 def similar_upsert(spark, sf_dir):
     """Upsert a partial recompute (pairs of English documents) into an
     older pair table (scores kept to 2 digits)."""
+    from quire.session import cut_lineage
     from quire.sources import tables
     doc = _doc(spark, sf_dir)
-    fresh = S.pair_table(doc)
+    fresh = cut_lineage(S.pair_table(doc))
     old = fresh.withColumn("score", F.round("score", 2))
     en = doc.where(F.col("category") == "en").select(F.col("uid").alias("uid_1"))
     new = fresh.join(en, "uid_1", "left_semi")
