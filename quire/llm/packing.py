@@ -161,12 +161,19 @@ def plan_large(counts: np.ndarray, capacity: int, groups: int, small: int):
     runs, sequence = [], 0
     for g in range(len(begin)):
         while left[g] > 0:
-            # Ascending sizes of groups that still have pieces.
-            have = np.flatnonzero(left > (np.arange(len(left)) == g))[::-1]
-            use = {g: 1}
-            for i in fill(capacity - int(size[g]), size[have]):
-                use[int(have[i])] = use.get(int(have[i]), 0) + 1
-            use = {k: min(n, int(left[k])) for k, n in use.items()}
+            use, room = {g: 1}, capacity - int(size[g])
+            spare = left.copy()
+            spare[g] -= 1
+            while True:
+                have = np.flatnonzero(spare > 0)[::-1]     # ascending sizes
+                picks = fill(room, size[have])
+                if not picks:
+                    break
+                for k in have[picks].tolist():
+                    if spare[k]:
+                        spare[k] -= 1
+                        room -= int(size[k])
+                        use[k] = use.get(k, 0) + 1
             times = min(int(left[k]) // n for k, n in use.items())
             slot = 0
             for k, n in sorted(use.items()):
