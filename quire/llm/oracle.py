@@ -1,3 +1,65 @@
 """DuckDB SQL of the operators that SQL can state."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+import re
+
+from quire.llm.license_scan import BASE, MARK, TEMPLATES
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _pattern(markup: str) -> str:
+    """A template as a regular expression over words, each after a space."""
+    out, at = "", 0
+    for m in MARK.finditer(markup):
+        out += "".join(" " + w for w in markup[at:m.start()].split())
+        out += {"beginOptional": "(?:", "endOptional": ")?", "var": f"(?: [^ ]+){{0,{m[2]}}}"}[m[1]]
+        at = m.end()
+    return out + "".join(" " + w for w in markup[at:].split()) + " "
+
+
+def _license_sql() -> str:
+    """Base phrases by comparing list slices, templates by regular expressions."""
+    lists = [f"list_filter(range(len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()})" for p in BASE]
+    flags = [(label, len(p.split()), f"len(p{i}) > 0", True) for i, (p, label) in enumerate(BASE.items())]
+    for label, markup in TEMPLATES:
+        plain = len(re.sub(r"<<[^<>]+>>", " ", re.sub(r"<<beginOptional>>.*?<<endOptional>>", " ", _flat(markup))).split())
+        flags.append((label, plain, f"regexp_matches(s, '{_pattern(markup)}')", False))
+    base = ", ".join(f"case when {test} then '{label}' end" for label, _, test, b in flags if b)
+    every = ", ".join(f"case when {test} then '{label}' end" for label, _, test, _ in flags)
+    most = ", ".join(f"case when {test} then {k} else 0 end" for _, k, test, _ in flags)
+    joined = "coalesce(array_to_string(list_sort(list_distinct(list_filter([{}], lambda x: x is not null))), ','), '')"
+    return f"""
+with t as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+u as (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as s,
+             {', '.join(f'{x} as p{i}' for i, x in enumerate(lists))} from t),
+v as (select *, greatest({most}) as k, {' + '.join(f'len(p{i})' for i in range(len(lists)))} as n,
+             list_concat({'list_concat(' * (len(lists) - 2)}p0, {'), '.join(f'p{i}' for i in range(1, len(lists)))}) as places
+      from u)
+select doc_id, len(w) as n_words, n as n_base, list_min(places) as first_word, list_max(places) as last_word,
+       {joined.format(base)} as base_labels, {joined.format(every)} as labels,
+       case when k > 0 then k / (k + 2.0)::double else 0.0 end as score
+from v"""
+
+
+def _flat(markup: str) -> str:
+    """Without the optional regions that stand inside another."""
+    while True:
+        less = re.sub(r"(<<beginOptional>>(?:(?!<<(?:begin|end)Optional>>).)*)<<beginOptional>>"
+                      r"(?:(?!<<(?:begin|end)Optional>>).)*<<endOptional>>", r"\1", markup)
+        if less == markup:
+            return markup
+        markup = less
+
+
+ORACLE: dict[str, str] = {
+    "op1_license_scan": _license_sql(),
+    "op9_warc": """
+with t as (select page_id, sha1(coalesce(html, '')) as d, strlen(coalesce(html, '')) as n from pages),
+m as (select d, max(page_id) as last from t where n >= 1000 group by d)
+select t.page_id, t.n as payload_bytes, t.d as payload_digest,
+       case when m.last is not null and t.page_id is distinct from m.last then 'revisit' else 'response' end as record_type,
+       case when t.page_id is distinct from m.last then m.last end as refers_to
+from t left join m on t.d = m.d and t.n >= 1000""",
+}

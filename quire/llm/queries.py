@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, near_dup, packing, substring_dedup, toxicity
+from quire.llm import decontaminate, language_id, license_scan, near_dup, packing, substring_dedup, toxicity, warc
 from quire.llm.common import held_out, table
 
 
@@ -44,4 +44,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_minhash": op7_minhash}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back in byte ranges."""
+    files = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, files).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learns from labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op8_language_id": op8_language_id, "op9_warc": op9_warc}
