@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, language_id, license_scan, near_dup, packing, substring_dedup, toxicity, warc
+from quire.llm import decontaminate, html_text, language_id, license_scan, near_dup, packing, substring_dedup, toxicity, warc
 from quire.llm.common import held_out, table
 
 
@@ -63,4 +63,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op8_language_id": op8_language_id, "op9_warc": op9_warc}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_html_text": op10_html_text}
