@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, html_text, language_id, license_scan, near_dup, packing, substring_dedup, toxicity, warc
+from quire.llm import decontaminate, html_text, language_id, license_scan, near_dup, nn_descent, packing, substring_dedup, toxicity, warc
 from quire.llm.common import held_out, table
 
 
@@ -68,4 +68,9 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_html_text": op10_html_text}
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op3_nn_descent": op3_nn_descent, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_html_text": op10_html_text}
