@@ -70,6 +70,13 @@ def text_key(col="text"):
     return F.xxhash64(col)
 
 
+def document_key(docs: DataFrame):
+    """``text_key`` where an id is repeated; else 0, which takes no room in a
+    shuffle, as ids alone tell documents apart."""
+    once = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return F.lit(0).cast("long") if once else text_key()
+
+
 def held_out(col="doc_id"):
     """crc32 of the id as text, modulo 5, is 0; a null id is held out."""
     return F.coalesce(F.crc32(F.col(col).cast("string")) % 5 == 0, F.lit(True))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import GOLD, MULT, arrow_map, mix, signed, stored, text_key, with_fields
+from quire.llm.common import GOLD, MULT, arrow_map, document_key, mix, signed, stored, with_fields
 
 GRAM = 32
 #: Windows of one document looked at in one go, symbols between documents,
@@ -144,7 +144,7 @@ def first_anchors(docs: DataFrame, length: int) -> DataFrame:
         # A repeated row has the place of its first and is no later string.
         settled = ~((ids[doc] == ids[doc[head]]) & (none[doc] == none[doc[head]])
                     & (keys[doc] == keys[doc[head]]) & (off == off[head]))
-        spread = mix(keys[doc].view(np.uint64) + off.astype(np.uint64))
+        spread = mix(mix((ids[doc] ^ keys[doc]).view(np.uint64)) + off.astype(np.uint64))
         at = pa.array(doc)
         return [signed(np.where(settled, spread, h)), signed(around), batch.column("doc_id").take(at),
                 batch.column("tkey").take(at), off, settled]
@@ -309,7 +309,7 @@ def deduplicate(docs: DataFrame, length: int = 100, with_text: bool = False, hot
     texts have no bytes; texts shorter than ``length`` lose nothing.  Texts
     of any length are cut into overlapping segments."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), "text",
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_key(docs).alias("tkey"), "text",
                       *([F.col("text").isNull().alias("was_null"), F.struct(
                           F.lit(0).alias(""), *[F.col(f"`{c}`") for c in others]).alias("row")] if with_text else []))
     carried = [c for c in src.columns if c != "text"]
