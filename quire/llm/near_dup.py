@@ -6,14 +6,17 @@ Steps, all joins and groupings in Spark:
    documents with equal sets become one node, so a group of copies costs
    one row from here on;
 2. banded candidates: nodes that share a band's signature rows.  Every node
-   of a band bucket is paired with the bucket's smallest node only;
+   of a band bucket is paired with the bucket's smallest and largest only;
 3. candidate signatures are compared batch by batch; a pair leaves when the
    posterior probability of reaching the threshold falls below ``miss``;
 4. survivors are verified on the full shingle sets;
-5. pairs that a bucket still holds between different components (no link to
-   the smallest node does not rule out a link among the others) go through
-   3 and 4 as well, so no link is lost to the star of step 2.  Buckets whose
-   nodes are one component by then, as groups of near copies are, add none.
+5. a bucket may still hold nodes of different components, for no link to
+   those two does not rule out one among the others.  The nodes of
+   such buckets are joined on the rarest shingles of their sets: two sets
+   that reach the threshold share one of them, at places that leave room for
+   the overlap (prefix and positional filtering).  Pairs that pass go through
+   3 and 4 too.  So no link is lost to the star of step 2, and a large group
+   of copies that are near their source but not each other adds few pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import WordHashes, arrow_map, mix, shingle_hashes, signed, stored, text_key
@@ -171,24 +174,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, miss: float
                   .agg(F.min(F.struct(*order_cols(), "sig")).alias("r"))
                   .select("node", "r.no", "r.doc_id", "r.tkey", "r.sig"), "reps")
     band = band_rows(reps, bands, rows)
-    hubs = stored(band.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
-                  .filter("n > 1").select("band", "hub"), "hubs")
+    hubs = stored(band.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+                  .filter("lo <> hi"), "hubs")
     members = stored(band.join(hubs, "band"), "members")
-    star = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    star = (members.filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
+            .union(members.filter("node <> hi").select("node", "hi")).distinct())
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), "text")
              .dropDuplicates(["doc_id", "tkey"]))
 
+    def texts_of(some):
+        where = reps.join(some, "node").select("node", "doc_id", "tkey")
+        return texts.alias("t").join(where.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
+                                     & (F.col("t.tkey") == F.col("w.tkey"))).select("node", "text")
+
     def links_of(pairs):
         close = stored(bayes_prune(pairs, reps, percent / 100, miss, n), "close")
         used = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-        where = reps.join(used, "node").select("node", "doc_id", "tkey")
-        t = texts.alias("t").join(where.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
-                                  & (F.col("t.tkey") == F.col("w.tkey"))).select("node", "text")
-        return stored(verify(close, t, k, percent), "links")
+        return stored(verify(close, texts_of(used), k, percent), "links")
 
     links = links_of(star)
     roots = stored(components(links), "roots")
-    rest = stored(cross_pairs(members, roots, star), "rest")
+    mixed = mixed_nodes(members, roots)
+    rest = stored(cross_pairs(mixed, texts_of(mixed.select("node")), star, k, percent), "rest")
     if not rest.isEmpty():
         more = links_of(rest)
         if not more.isEmpty():
@@ -212,14 +219,37 @@ def order_cols():
     return [F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("tkey")]
 
 
-def cross_pairs(members: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of nodes that share a bucket but no component."""
-    named = (members.join(roots.withColumnRenamed("root", "r"), "node", "left")
+def mixed_nodes(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the nodes in buckets of more than one component."""
+    named = (members.select("band", "node").join(roots.withColumnRenamed("root", "r"), "node", "left")
              .select("band", "node", F.coalesce("r", "node").alias("root")))
     mixed = (named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .filter("lo <> hi").select("band"))
-    named = stored(named.join(mixed, "band", "left_semi"), "mixed")
-    x = named.select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
-    y = named.select("band", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = x.join(y, "band").filter("a < b and ra <> rb").select("a", "b").distinct()
+    return stored(named.join(mixed, "band", "left_semi").select("node", "root").distinct(), "mixed")
+
+
+def cross_pairs(mixed: DataFrame, texts: DataFrame, tested: DataFrame, k: int, percent: int) -> DataFrame:
+    """Untested pairs of mixed nodes of different components that can reach
+    the threshold by their sizes and the places of a shared rare shingle."""
+
+    def fn(batch, words):
+        sets = [shingles(t, words, k) for t in batch.column("text").to_pylist()]
+        size = [len(x) for x in sets]
+        at = pa.array(np.repeat(np.arange(len(sets)), size))
+        return [batch.column("node").take(at), np.repeat(size, size), signed(np.concatenate(sets))]
+
+    each = arrow_map(texts, fn, "node binary, size long, shingle long", slice_rows=256, start=WordHashes)
+    # Stored, so that the join can split a shingle that very many sets have.
+    often = stored(each.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+    turn = Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "shingle")
+    rare = (each.join(often, "shingle", "left").withColumn("i", F.row_number().over(turn))
+            .filter(f"i <= size - ceil({percent} * size / 100) + 1 and df is not null")
+            .join(mixed, "node").select("shingle", "node", "size", "i", "root"))
+    shared = rare.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rare = stored(rare.join(shared.filter("lo <> hi"), "shingle", "left_semi"), "rare")
+    x, y = (rare.select("shingle", F.col("node").alias(n), F.col("root").alias("r" + n),
+                        F.col("size").alias("s" + n), F.col("i").alias("i" + n)) for n in "ab")
+    # Overlap needed: percent / (100 + percent) of both sizes.
+    can = (f"a < b and ra <> rb and {100 + percent} * (1 + least(sa - ia, sb - ib)) >= {percent} * (sa + sb)")
+    pairs = x.join(y, "shingle").filter(can).select("a", "b").distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
