@@ -130,11 +130,15 @@ class Parser:
                     break
                 c = steps[t, :m]
                 new = table[state[:m] * self.width + c]
+                # A missing transition ends a phrase (state 0 has none open);
+                # a character that the language lacks is one by itself.
                 miss = np.flatnonzero(new < 0)
-                count[miss] += 1
-                new[miss] = np.maximum(start[c[miss]], 0)
+                again = start[c[miss]]
+                count[miss] += (state[miss] != 0).astype(np.int32) + (again < 0)
+                new[miss] = np.maximum(again, 0)
                 state[:m] = new
-        return out + 1
+            count += state != 0
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """A language and a score each: how far the best is from the second,

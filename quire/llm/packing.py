@@ -142,7 +142,17 @@ def fill(room: int, sizes: np.ndarray) -> list[int]:
     return out
 
 
+def longest(room: int, sizes: np.ndarray) -> list[int]:
+    """The index of the largest size that fits, if any."""
+    return [int(np.searchsorted(sizes, room, "right")) - 1] if len(sizes) and sizes[0] <= room else []
+
+
 def plan_large(counts: np.ndarray, capacity: int, groups: int, small: int):
+    """The plan of fewer sequences of two ways to choose configurations."""
+    return min((_plan_large(counts, capacity, groups, small, f) for f in (fill, longest)), key=lambda p: p[1])
+
+
+def _plan_large(counts: np.ndarray, capacity: int, groups: int, small: int, choose):
     """(runs, sequences): large pieces in descending order of length, from
     number ``first`` on, ``per`` of them to each of successive sequences from
     ``sequence`` on, in places from ``slot`` on.  Columns first, sequence,
@@ -166,7 +176,7 @@ def plan_large(counts: np.ndarray, capacity: int, groups: int, small: int):
             spare[g] -= 1
             while True:
                 have = np.flatnonzero(spare > 0)[::-1]     # ascending sizes
-                picks = fill(room, size[have])
+                picks = choose(room, size[have])
                 if not picks:
                     break
                 for k in have[picks].tolist():
