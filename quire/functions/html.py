@@ -22,6 +22,11 @@ VOID_TAGS = frozenset((
     "menuitem", "meta", "param", "source", "track", "wbr", "basefont", "bgsound",
     "command", "frame", "image", "isindex", "nextid", "spacer"))
 NON_TEXT_TAGS = frozenset(("script", "style", "template"))
+# The scrape walk reads a cleaned page: there a block closes an open p, and
+# these hold no text.
+CLOSES_P = frozenset(("p", "div", "ul", "ol", "dl", "table", "pre", "form", "hr", "address", "blockquote",
+                      "fieldset", "article", "section", "aside", "header", "footer", "nav", *BLOCK_TAGS))
+CLEANED_TAGS = frozenset(("textarea", "select", "button", "option", "iframe", "embed", "object", "applet", "noscript"))
 # --- end of fixed values ---
 
 
@@ -46,13 +51,16 @@ class Element:
 
 
 class _TreeBuilder(HTMLParser):
-    def __init__(self, remove_chars: str = ""):
+    def __init__(self, remove_chars: str = "", cleaned: bool = False):
         super().__init__(convert_charrefs=True)
+        self.cleaned = cleaned
         self.root = Element(None)
         self.stack = [self.root]
         self.table = str.maketrans("", "", remove_chars) if remove_chars else None
 
     def handle_starttag(self, tag, attrs):
+        if self.cleaned and tag in CLOSES_P:
+            self.handle_endtag("p")
         node = Element(tag, dict(attrs))
         self.stack[-1].children.append(node)
         if tag not in VOID_TAGS:
@@ -68,14 +76,16 @@ class _TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.cleaned and any(n.name in CLEANED_TAGS for n in self.stack):
+            return
         if self.table is not None:
             data = data.translate(self.table)
         if data:
             self.stack[-1].children.append(data)
 
 
-def parse(markup: str, remove_chars: str = "") -> Element:
-    b = _TreeBuilder(remove_chars)
+def parse(markup: str, remove_chars: str = "", cleaned: bool = False) -> Element:
+    b = _TreeBuilder(remove_chars, cleaned)
     b.feed(markup or "")
     b.close()
     return b.root
@@ -134,8 +144,9 @@ def scrape_blocks(markup: str, html_ids: list[str], prefix: str = "(U) ",
     """Blocks of the element whose id is listed (the last listed id found
     wins), scripts, styles and comments dropped (O-26): each heading as a
     level-3 heading and each ``p``, with text of at least ``min_length``
-    characters, prefixed.  No de-duplication."""
-    root = parse(markup)
+    characters, prefixed.  An open ``p`` ends where the next block starts.  No
+    de-duplication."""
+    root = parse(markup, cleaned=True)
     target = None
     for id_ in html_ids:
         found = find_first(root, lambda n, i=id_: n.attrs.get("id") == i)

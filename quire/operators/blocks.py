@@ -62,12 +62,16 @@ def _dedup_first(blocks: list[tuple[str, str, str]]) -> list[tuple[str, str, str
 
 
 def page_blocks(pages: DataFrame, key: str = "page_id", html: str = "html",
-                remove_chars: str = config.REMOVE_CHARS, dedup: bool = True) -> DataFrame:
+                remove_chars: str = config.REMOVE_CHARS, dedup: bool = True,
+                keep_empty: bool = False) -> DataFrame:
     """``(key, pos, tag, text, html)``: the flattened body of every page
     (O-19), listed characters removed (O-18), repeated blocks dropped,
-    first one kept (O-20), positions 0.. in document order."""
+    first one kept (O-20), positions 0.. in document order.  With
+    ``keep_empty`` a page without blocks has one empty paragraph."""
     def fn(markup):
         b = H.tidy_blocks(markup, remove_chars)
+        if keep_empty and not b:
+            return [("p", "", "<p></p>")]
         return _dedup_first(b) if dedup else b
     return _block_job(pages, key, html, fn)
 

@@ -94,10 +94,11 @@ def mark_spans(html: str | Column, marks: list[str] = config.PARA_MARKINGS) -> C
 
 
 def mark_text(text: str | Column, marks: list[str] = config.PARA_MARKINGS) -> Column:
-    """Text as rendered after ``mark_spans``: ``(MARK)`` reads ``MARK``."""
+    """Text as rendered after ``mark_spans``: ``(MARK)`` reads ``MARK`` with a
+    space on both sides, as the span's text stands apart from its neighbours."""
     out = _c(text)
     for m in marks:
-        out = F.regexp_replace(out, rf"\({m}\)", m)
+        out = F.regexp_replace(out, rf"\({m}\)", f" {m} ")
     return out
 
 
@@ -207,7 +208,10 @@ def _positions(blocks: DataFrame, key: str, start_regex: str,
         F.min(F.when(approved, F.col("pos"))).over(w).alias("_appr"),
     )
     cleared = t.startswith("Cleared:") & (F.col("pos") >= F.col("_appr"))
-    return b.select("*", F.min(F.when(cleared, F.col("pos"))).over(w).alias("_clr"))
+    # A clearance line from the approval on opens the list, which starts at
+    # the document's first such line, even one before the approval.
+    return b.select("*", F.min(F.when(cleared, F.col("pos"))).over(w).alias("_clr"),
+                    F.min(F.when(t.startswith("Cleared:"), F.col("pos"))).over(w).alias("_clr0"))
 
 
 def body_aggregates() -> dict[str, Column]:
@@ -259,8 +263,8 @@ def footer_aggregates() -> dict[str, Column]:
             pystrip(F.try_element_at(person, F.lit(2))).alias("name"),
             ext.alias("ext"), phone.alias("phone")))),
         "_clr_list": F.sort_array(F.collect_list(F.when(
-            one & (F.col("pos") >= F.col("_clr")),
-            F.struct(F.col("pos"), F.when(F.col("pos") == F.col("_clr"), clr_first)
+            one & F.col("_clr").isNotNull() & (F.col("pos") >= F.col("_clr0")),
+            F.struct(F.col("pos"), F.when(F.col("pos") == F.col("_clr0"), clr_first)
                      .otherwise(t).alias("t"))))),
     }
 

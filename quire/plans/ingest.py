@@ -20,7 +20,8 @@ def records(pages: DataFrame, key: str, file_name, has_footer: bool = False,
     expression over ``key``.  With ``content_uid`` the uid is a hash of the
     key, so re-ingesting a file yields the same uid (upsert-safe); without
     it a random uid, as the portal did."""
-    b = blocks.page_blocks(pages.select(key, html), key=key, html=html)
+    # A page without blocks keeps a row, with the placeholder body.
+    b = blocks.page_blocks(pages.select(key, html), key=key, html=html, keep_empty=True)
     parsed = memo.parse(b, key=key, has_footer=has_footer)
     uid = F.sha2(F.col(key).cast("string"), 256) if content_uid else None
     return memo.to_records(parsed, file_name, uid=uid)
@@ -28,8 +29,10 @@ def records(pages: DataFrame, key: str, file_name, has_footer: bool = False,
 
 def records_from_files(files_df: DataFrame, has_footer: bool = False,
                        content_uid: bool = True) -> DataFrame:
-    """Rows from ``(path, file_name, html)`` as read by ``sources.files``."""
-    return records(files_df.select("file_name", "html"), "file_name", F.col("file_name"),
+    """Rows from ``(path, file_name, html)`` as read by ``sources.files``; the
+    path tells files of one name apart."""
+    return records(files_df.select("path", "html"), "path",
+                   F.element_at(F.split(F.col("path"), "/", -1), -1),
                    has_footer=has_footer, content_uid=content_uid)
 
 
@@ -37,11 +40,10 @@ def ingest_folder(spark: SparkSession, folder: str, root: str, glob: str = "*",
                   has_footer: bool = False) -> None:
     """Read a folder of memos and upsert them into the document table."""
     new = records_from_files(files.read_html_files(spark, folder, glob), has_footer)
-    try:
+    rows = new
+    if tables.exists(spark, root, "document"):
         old = tables.read_table(spark, root, "document")
         rows = tables.upsert(old, tables.conform(new, tables.DOCUMENT_SCHEMA), ["uid"])
-    except Exception:  # no table yet
-        rows = new
     tables.replace_table(rows, root, "document")
 
 

@@ -336,7 +336,7 @@ _MARK_TEXT = "text"
 for _m in config.PARA_MARKINGS:
     _MARK_SPANS = (f"regexp_replace({_MARK_SPANS}, '\\({_m}\\)', "
                    f"'<span class=\"label label-{_m.lower()}\">{_m}</span>', 'g')")
-    _MARK_TEXT = f"regexp_replace({_MARK_TEXT}, '\\({_m}\\)', '{_m}', 'g')"
+    _MARK_TEXT = f"regexp_replace({_MARK_TEXT}, '\\({_m}\\)', ' {_m} ', 'g')"
 
 MEMO_HEADER = f"""
 hitems AS (
@@ -384,7 +384,8 @@ mpos0 AS (
 ),
 mpos AS (
   SELECT *, min(CASE WHEN starts_with(text, 'Cleared:') AND pos >= appr THEN pos END)
-              OVER (PARTITION BY doc_id) AS clr
+              OVER (PARTITION BY doc_id) AS clr,
+    min(CASE WHEN starts_with(text, 'Cleared:') THEN pos END) OVER (PARTITION BY doc_id) AS clr0
   FROM mpos0
 ),
 body AS (
@@ -423,9 +424,9 @@ footer AS (
       FILTER (WHERE n_appr = 1 AND starts_with(text, 'Drafted:') AND pos >= appr
               AND (clr IS NULL OR pos < clr) AND len(data_parts) = 2 AND len(person) = 2
               AND ext IS NOT NULL AND phone IS NOT NULL) AS dr,
-    list(CASE WHEN pos = clr THEN string_split(text, ': ')[2] ELSE text END ORDER BY pos)
-      FILTER (WHERE n_appr = 1 AND pos >= clr
-              AND (pos > clr OR len(string_split(text, ': ')) >= 2)) AS cl
+    list(CASE WHEN pos = clr0 THEN string_split(text, ': ')[2] ELSE text END ORDER BY pos)
+      FILTER (WHERE n_appr = 1 AND clr IS NOT NULL AND pos >= clr0
+              AND (pos > clr0 OR len(string_split(text, ': ')) >= 2)) AS cl
   FROM fitems2 GROUP BY doc_id
 ),
 footer_out AS (

@@ -7,6 +7,7 @@ one in.  ``local_session`` is for tests, the bench and the command line.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +39,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the operator of the cluster sets it to shared storage; we
-    only fill it in when it is unset (local runs and tests).
+    fill it in only for a local session (tests, bench), where every task
+    sees the same disk, and raise an error elsewhere.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not current:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="quire-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
