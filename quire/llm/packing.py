@@ -33,25 +33,43 @@ VOCABULARY = "word_bpe_49k.json"
 SPACE = re.compile(r"[ \n\t\r]+")
 
 
+#: A word of Latin letters and the marks behind it.  The vocabulary splits it
+#: there too, and reads capitals as small letters.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?%$#&*()]*)")
+
+
 class Ids(dict):
     """word -> ids.  The vocabulary drops white space and never joins across
-    it, so words are encoded once and remembered up to a bound."""
+    it, so words are encoded once and remembered up to a bound; a word not yet
+    seen is put together from its letters and its marks, if those are known."""
 
-    def __init__(self, path: str, most: int = 250_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.model, self.most, self.longest = Tokenizer.from_file(path), most, longest
-
-    def _encode(self, word: str) -> list[int]:
-        return self.model.encode(word, add_special_tokens=False).ids
+        self.letters: dict[str, tuple[int, ...]] = {}
+
+    def _encode(self, word: str) -> tuple[int, ...]:
+        return tuple(self.model.encode(word, add_special_tokens=False).ids) if word else ()
+
+    def _part(self, word: str) -> tuple[int, ...]:
+        ids = self.letters.get(word)
+        if ids is None:
+            ids = self._encode(word)
+            if len(word) <= self.longest:
+                if len(self.letters) >= self.most:
+                    self.letters.clear()
+                self.letters[word] = ids
+        return ids
 
     def __missing__(self, word):
-        ids = self._encode(word) if word else ()
+        plain = PLAIN.fullmatch(word)
+        ids = self._part(plain[1].lower()) + self._part(plain[2]) if plain else self._encode(word)
         if len(word) <= self.longest:
             if len(self) >= self.most:
                 self.clear()
-            self[word] = tuple(ids)
+            self[word] = ids
         return ids
 
     def of(self, text: str | None) -> np.ndarray:
