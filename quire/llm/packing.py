@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -78,6 +79,12 @@ class Ids(dict):
         return np.fromiter(chain(chain.from_iterable(map(self.__getitem__, words)), (END,)), np.uint32)
 
 
+@cache
+def shared_ids(path: str) -> Ids:
+    """One for all tasks that a worker process runs."""
+    return Ids(path)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path(VOCABULARY)
@@ -88,7 +95,7 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     pieces of one length within the task."""
 
     def start():
-        return {"ids": Ids(path), "seen": np.zeros(capacity + 1, np.int64),
+        return {"ids": shared_ids(path), "seen": np.zeros(capacity + 1, np.int64),
                 "part": TaskContext.get().partitionId()}
 
     def fn(batch, s):
