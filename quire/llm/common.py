@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+import quire
 from quire.session import ensure_checkpoint_dir
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -27,10 +31,29 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/quire-llm/{name}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: tasks
+    import the operators' helpers, wherever the driver found them."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(quire.__file__).parent
+        path = Path(tempfile.mkdtemp(prefix="quire-")) / "quire.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*")):
+                if f.is_file() and "__pycache__" not in f.parts:
+                    z.write(f, f"quire/{f.relative_to(root)}")
+        sc.addPyFile(str(path))
+        _shipped.add(sc.applicationId)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder as Parquet and read it back: cuts the
     lineage, survives a lost executor, and gives later joins a plain scan
     (so adaptive execution can split skewed partitions)."""
+    ship(df.sparkSession)
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -47,6 +70,7 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType, slice_rows:
 
     ``fn(batch, state)`` returns the output columns in schema order (or
     None for no rows); ``start()`` makes the per-task state."""
+    ship(df.sparkSession)
     if isinstance(schema, str):
         schema = _parse_datatype_string(schema)
     out = to_arrow_schema(schema)
