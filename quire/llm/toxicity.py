@@ -172,7 +172,7 @@ def backward(net, k, dlogit):
     return g
 
 
-def train(net, x, lengths, y, rng, steps=160, batch=192, rate=0.015):
+def train(net, x, lengths, y, rng, steps=250, batch=256, rate=0.01):
     """Adam on cross entropy; classes are drawn evenly."""
     first, second = ({n: np.zeros_like(p) for n, p in net.items()} for _ in range(2))
     one, zero = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
