@@ -179,25 +179,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, miss: float
     members = stored(band.join(hubs, "band"), "members")
     star = (members.filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
             .union(members.filter("node <> hi").select("node", "hi")).distinct())
-    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), "text")
-             .dropDuplicates(["doc_id", "tkey"]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), "text")
+    once = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
     def texts_of(some):
+        """The texts of these nodes, stored: whole texts move once for all uses."""
         where = reps.join(some, "node").select("node", "doc_id", "tkey")
-        return texts.alias("t").join(where.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
-                                     & (F.col("t.tkey") == F.col("w.tkey"))).select("node", "text")
+        found = texts.alias("t").join(where.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
+                                      & (F.col("t.tkey") == F.col("w.tkey"))).select("node", "text")
+        # Repeated rows, where there are any, are the only repeated nodes.
+        return stored(found if once else found.dropDuplicates(["node"]), "texts")
 
-    def links_of(pairs):
-        close = stored(bayes_prune(pairs, reps, percent / 100, miss, n), "close")
-        used = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-        return stored(verify(close, texts_of(used), k, percent), "links")
+    def close_pairs(pairs):
+        return stored(bayes_prune(pairs, reps, percent / 100, miss, n), "close")
 
-    links = links_of(star)
+    close = close_pairs(star)
+    used = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+    links = stored(verify(close, texts_of(used), k, percent), "links")
     roots = stored(components(links), "roots")
     mixed = mixed_nodes(members, roots)
-    rest = stored(cross_pairs(mixed, texts_of(mixed.select("node")), star, k, percent), "rest")
+    mixed_texts = texts_of(mixed.select("node"))
+    rest = stored(cross_pairs(mixed, mixed_texts, star, k, percent), "rest")
     if not rest.isEmpty():
-        more = links_of(rest)
+        more = stored(verify(close_pairs(rest), mixed_texts, k, percent), "links")
         if not more.isEmpty():
             roots = stored(components(links.unionByName(more)), "roots")
     named = (reps.join(roots, "node", "left")
