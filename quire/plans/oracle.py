@@ -560,7 +560,7 @@ ORACLE.update({
     "actions": """SELECT CAST(user_id AS VARCHAR) AS pid, event_type AS action,
         CAST(event_id AS VARCHAR) AS rid, ts AS datetime FROM events""",
     "similar_upsert": SIM + """,
-        fresh AS (SELECT uid_1, uid_2, score FROM sim),
+        fresh AS MATERIALIZED (SELECT uid_1, uid_2, score FROM sim),
         old AS (SELECT uid_1, uid_2, round(score, 2) AS score FROM fresh),
         new AS (SELECT f.* FROM fresh f WHERE f.uid_1 IN (SELECT uid FROM document WHERE category = 'en'))
         SELECT uid_1, uid_2, round(score, 6) AS score FROM (

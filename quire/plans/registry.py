@@ -72,8 +72,10 @@ def top_terms(spark, sf_dir):
 
 
 def df_histogram(spark, sf_dir):
+    # the histogram needs document counts only, no weights
     doc = _doc(spark, sf_dir)
-    return tfidf.df_histogram(analysis.ngram_weights(doc), tfidf.n_documents(doc))
+    post = tfidf.postings(doc, "uid", "full_text", config.NGRAM_MAX)
+    return tfidf.df_histogram(post, tfidf.n_documents(doc))
 
 
 def parity(spark, sf_dir):
@@ -111,8 +113,10 @@ def search_quoted(spark, sf_dir):
 
 
 def detail(spark, sf_dir):
+    # the id is filtered as a number, so the lookup reaches the Parquet scan
     doc = _doc(spark, sf_dir)
-    one = doc.where(F.col("uid") == SAMPLE_UID)
+    one = fixtures.document_view(fixtures.read(spark, sf_dir, "documents")
+                                 .where(F.col("doc_id") == int(SAMPLE_UID)))
     top = analysis.document_top_terms(doc, only=one.select("uid"))
     return search.detail(one.drop("top_terms").join(top, "uid"), SAMPLE_UID)
 
