@@ -2,19 +2,26 @@
 
 The pages of a host are merged into one tree of styles: a node is a path of
 element names with their classes.  Grouping by host and path gives, for each
-node, how varied its presentation is (the sequences of its children over the
-pages) and how varied its content (the texts in it): the importance is the
-entropy of the first, and one less the mean entropy over pages of the second.
-A page's branches are then weighed bottom up, as its style tree says, and
-those of low importance go, beside those whose names say what they are.
+node, how varied its presentation is (the entropy of the sequences of its
+children over the pages), and for each text in it on how many of the node's
+pages it stands: a text's importance is one less the entropy of its pages.  A
+page's branches are weighed bottom up, as its style tree says.  Branches and
+texts of low importance go, whatever their tag and wherever they stand.
+
+Names are a prior.  Text in elements whose names say that they are menus, ads
+or the like, and text outside article and main on pages that have them, is
+left out; but where a group of such text (that of one path, or all outside)
+holds most of what varies on a host, the tree overrules the names and it is
+weighed as all else.  Paths that few pages share are left to the names.
 
 No host is gathered in one task: all sums are aggregates by path, and a page
-gets the low nodes among its own paths only.
+gets the nodes and repeated texts of its own paths only.
 """
 
 from __future__ import annotations
 
 import html as _html
+import math
 import re
 
 import xxhash
@@ -35,9 +42,10 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
         "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th")}
 SCOPE = frozenset("ul ol dl table select div article section main body td th".split())
 # --- end of fixed values ---
-#: Elements, and words in a class, id or role, that are never main text.
-DROPPED = frozenset("head nav footer aside form script style noscript template svg math object iframe button select "
-                    "option textarea input label menu dialog canvas audio video map datalist title".split())
+#: Elements that hold no text of the page, and elements and words in a class, id or role that speak against main text.
+DROPPED = frozenset("head script style noscript template svg math object iframe button select option textarea input "
+                    "canvas audio video map datalist title".split())
+AGAINST = frozenset("nav footer aside form label menu dialog".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion "
                   "banner banners nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar "
                   "sidebars aside widget widgets related recommended recommendations share sharing social comment "
@@ -50,43 +58,50 @@ ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 #: Least importance of a branch, pages that must share a path, decay of the paper's composite importance.
 LOW, LEAST_PAGES, DECAY = 0.3, 5, 0.9
-#: The main parts.
-MAIN = frozenset(("article", "main"))
+#: Text the names speak against is kept where it has so many times the varied characters of the text they favour.
+OVERRULE = 2
+#: Least share of a page's characters that vary; below, all of it repeats, as on copies of one page.
+VARIED = 0.05
+#: The main parts, and the group of the text outside them.
+MAIN, OUTSIDE = frozenset(("article", "main")), 1
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "children", "blocks", "state")
+    __slots__ = ("tag", "path", "parent", "children", "blocks", "state", "group", "inline")
 
-    def __init__(self, tag, path, parent, state):
-        self.tag, self.path, self.parent, self.state = tag, path, parent, state
+    def __init__(self, tag, path, parent, state, group=0):
+        self.tag, self.path, self.parent, self.state, self.group = tag, path, parent, state, group
+        self.inline = False
         self.children: list[Element] = []
         self.blocks: list[int] = []
 
 
-def _traits(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
-    """(style of the element, whether its name or attributes drop it)."""
-    dropped = tag in DROPPED or (tag == "header" and not inside)
+def _traits(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
+    """(style of the element, whether it shows no text, whether its names
+    speak against it)."""
+    dropped, against = tag in DROPPED, tag in AGAINST or (tag == "header" and not inside)
     if not attrs.strip(" /"):
-        return tag, dropped
+        return tag, dropped, against
     style = tag
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
             names = [w.lower() for w in NAME.findall(value)]
             if tag not in ("html", "body", "article", "main"):
-                dropped = dropped or any(w in WORDS for w in names)
+                against = against or any(w in WORDS for w in names)
             style += "." + "-".join(names)
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (
                 name == "style" and "display:none" in value.replace(" ", "").lower()):
             dropped = True
-    return style, dropped
+    return style, dropped, against
 
 
 def parse(markup: str) -> tuple[Element, list[str]]:
     """(root, texts of the blocks in page order).  Blocks are the runs of
     text between block elements, with references decoded and white space
     turned into single spaces; dropped elements have none.  An element's
-    state is dropped (-1), inside the main part (1) or neither (0)."""
+    state is dropped (-1), inside the main part (1) or neither (0); its group
+    is the path of the nearest element that names speak against, or 0."""
     root = Element("", 0, None, 0)
     blocks: list[str] = []
     now, text, at = root, [], 0
@@ -97,7 +112,7 @@ def parse(markup: str) -> tuple[Element, list[str]]:
             text.clear()
             if t:
                 e = now
-                while e.tag in INLINE:
+                while e.inline:
                     e = e.parent
                 e.blocks.append(len(blocks))
                 blocks.append(t)
@@ -123,10 +138,10 @@ def parse(markup: str) -> tuple[Element, list[str]]:
             while e is not root and e.tag != tag:
                 e = e.parent
             if e is not root:
-                if tag in INLINE:
+                if e.inline:
                     # A formatting element does not close a block opened in it.
                     f = now
-                    while f is not e and f.tag in INLINE:
+                    while f is not e and f.inline:
                         f = f.parent
                     if f is e:
                         now = e.parent
@@ -147,14 +162,17 @@ def parse(markup: str) -> tuple[Element, list[str]]:
         if tag == "br":
             text.append(" ") if now.state >= 0 else None
             continue
-        if tag not in INLINE:
+        style, dropped, against = _traits(tag, m[3] or m[6] or "", now.state == 1)
+        inline = tag in INLINE and not against      # a name makes it a branch of its own
+        if not inline:
             flush()
-        style, dropped = _traits(tag, m[3] or m[6] or "", now.state == 1)
         state = -1 if dropped or now.state < 0 else 1 if now.state == 1 or tag in MAIN else 0
-        child = Element(tag, xxhash.xxh3_64_intdigest(f"{now.path} {style}") >> 1, now, state)
-        if tag not in INLINE:
+        path = xxhash.xxh3_64_intdigest(f"{now.path} {style}") >> 1
+        child = Element(tag, path, now, state, path if against else now.group)
+        child.inline = inline
+        if not inline:
             e = now
-            while e.tag in INLINE:
+            while e.inline:
                 e = e.parent
             e.children.append(child)
         if tag in RAW:      # its text is no markup, and never main text
@@ -162,7 +180,7 @@ def parse(markup: str) -> tuple[Element, list[str]]:
             at = end.start() if end else size
         if tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
             now = child
-        elif tag not in INLINE:
+        elif not inline:
             flush()
     flush()
     return root, blocks
@@ -182,87 +200,143 @@ def host_of(url):
                               F.lit("")))
 
 
+def groups_of(root: Element) -> dict[int, int]:
+    """Group of each shown element by identity: 0 if names favour its text,
+    OUTSIDE if it is outside the main parts of a page that has some, else the
+    path of the element whose names speak against it."""
+    shown = [e for e in walk(root) if e.state >= 0]
+    main = any(e.state == 1 and not e.group for e in shown)
+    return {id(e): e.group or (OUTSIDE if main and e.state == 0 else 0) for e in shown}
+
+
+def text_key(text: str) -> int:
+    """Not 0, which stands for no text."""
+    return xxhash.xxh3_64_intdigest(text) >> 1 or 1
+
+
 def features(pages: DataFrame) -> DataFrame:
-    """(host, path, content, feature): once per page, the look of each path
-    (the children of all its elements) and each text in it."""
+    """(host, path, content, feature, group, chars): once per page, the look
+    of each path (the children of all its elements) and each text in it."""
 
     def fn(batch, _):
-        out = [[], [], [], []]
+        out = [[], [], [], [], [], []]
         for host, markup in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
             root, blocks = parse(markup or "")
+            groups = groups_of(root)
             looks: dict[int, list[str]] = {}
-            texts = set()
+            texts = {}
             for e in walk(root):
                 if e.state >= 0:
-                    looks.setdefault(e.path, []).append(",".join(c.tag for c in e.children))
-                    texts |= {(e.path, xxhash.xxh3_64_intdigest(blocks[b]) >> 1) for b in e.blocks}
+                    group = groups[id(e)]
+                    looks.setdefault(e.path, []).append(",".join(c.tag for c in e.children if c.state >= 0))
+                    if group == OUTSIDE:
+                        looks[OUTSIDE] = [""]
+                    for b in e.blocks:
+                        texts[e.path, text_key(blocks[b])] = group, len(blocks[b])
             for path, look in looks.items():
-                for c, v in zip(out, (host, path, False, xxhash.xxh3_64_intdigest(";".join(look)) >> 1)):
+                for c, v in zip(out, (host, path, False, xxhash.xxh3_64_intdigest(";".join(look)) >> 1, 0, 0)):
                     c.append(v)
-            for path, t in texts:
-                for c, v in zip(out, (host, path, True, t)):
+            for (path, t), (group, chars) in texts.items():
+                for c, v in zip(out, (host, path, True, t, group, chars)):
                     c.append(v)
         return out
 
-    return arrow_map(pages.select("host", "html"), fn, "host string, path long, content boolean, feature long",
-                     slice_rows=512)
+    return arrow_map(pages.select("host", "html"), fn, "host string, path long, content boolean, feature long, "
+                     "group long, chars long", slice_rows=512)
 
 
 def style_tree(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """(host, path, look, content): importance of the presentation and the
-    content of every path that at least ``least`` pages of a host share."""
-    counts = features(pages).groupBy("host", "path", "content", "feature").agg(F.count("*").cast("double").alias("c"))
-    sums = counts.groupBy("host", "path").agg(
-        F.sum(F.when(~F.col("content"), F.col("c"))).alias("m"),
-        F.sum(F.when(~F.col("content"), F.col("c") * F.log("c"))).alias("look_logs"),
-        F.sum(F.when(F.col("content"), F.col("c"))).alias("texts"),
-        F.sum(F.when(F.col("content"), F.col("c") * F.log("c"))).alias("text_logs"))
-    size = F.log("m")
-    return (sums.filter(F.col("m") >= least)
-            .select("host", "path", (1 - F.col("look_logs") / F.col("m") / size).alias("look"),
-                    (1 - F.col("text_logs") / F.col("texts") / size).alias("content")))
-
-
-def weigh(e: Element, tree: dict[int, tuple[float, float | None]], out: dict[int, float]) -> float:
-    """Composite importance of e's branch; fills ``out`` by identity.  Paths
-    that few pages share count as important."""
+    """(host, path, text, pages, look, open): for every path that at least
+    ``least`` pages of a host share, their number, the importance of its
+    presentation, and whether its group is kept against its names (text 0);
+    and the number of pages of every text that more than one of them has."""
+    counts = stored(features(pages).groupBy("host", "path", "content", "feature", "group", "chars")
+                    .agg(F.count("*").cast("double").alias("c")), "features")
+    look, size = ~F.col("content"), F.log("pages")
+    paths = stored(
+        counts.groupBy("host", "path").agg(
+            F.sum(F.when(look, F.col("c"))).alias("pages"),
+            F.sum(F.when(look, F.col("c") * F.log("c"))).alias("look_logs"))
+        .filter(F.col("pages") >= least)
+        .select("host", "path", "pages", (1 - F.col("look_logs") / F.col("pages") / size).alias("look")), "paths")
+    # Varied characters: each text's, times its importance.
+    varied = (counts.filter("content").groupBy("host", "path", "group").agg(
+                  F.sum(F.col("c") * F.col("chars")).alias("chars"),
+                  F.sum(F.col("c") * F.col("chars") * F.log("c")).alias("logs"))
+              .join(paths, ["host", "path"])
+              .groupBy("host", "group").agg(F.sum(F.col("chars") - F.col("logs") / size).alias("varied")))
+    opened = (varied.groupBy("host").agg(
+                  F.coalesce(F.sum(F.when(F.col("group") == 0, F.col("varied"))), F.lit(0.0)).alias("favoured"),
+                  F.max(F.when(F.col("group") != 0, F.struct("varied", "group"))).alias("most"))
+              .filter(F.col("most.varied") >= OVERRULE * F.col("favoured")).filter("most.varied > 0")
+              .select("host", F.col("most.group").alias("path"), F.lit(True).alias("open")))
+    texts = (counts.filter("content").groupBy("host", "path", F.col("feature").alias("text"))
+             .agg(F.sum("c").alias("pages")).filter("pages > 1"))
+    return (paths.join(opened, ["host", "path"], "left")
+            .select("host", "path", F.lit(0).cast("long").alias("text"), "pages", "look",
+                    F.coalesce("open", F.lit(False)).alias("open"))
+            .unionByName(texts.select("host", "path", "text", "pages", F.lit(None).cast("double").alias("look"),
+                                      F.lit(False).alias("open"))))
+
+
+#: (path, text) -> (pages, look, open), with text 0 for the path itself.
+Tree = dict[tuple[int, int], tuple[float, float | None, bool]]
+
+
+def importance(path: int, text: str, tree: Tree) -> float:
+    """Of a text: 1 if it is on one page of its path, 0 if on all of them."""
+    node = tree.get((path, 0))
+    same = tree.get((path, text_key(text))) if node else None
+    return 1 - min(1.0, math.log(same[0]) / math.log(node[0])) if same else 1.0
+
+
+def weigh(e: Element, tree: Tree, texts: dict[int, float], out: dict[int, float]) -> float:
+    """Composite importance of e's branch from that of its texts (by block);
+    fills ``out`` by identity.  Paths that few pages share count as important."""
     order = [x for x in walk(e) if x.state >= 0]
     for x in reversed(order):
-        look, content = tree.get(x.path, (1.0, 1.0))
+        node = tree.get((x.path, 0))
         parts = [out[id(c)] for c in x.children if c.state >= 0]
         if x.blocks:
-            parts.append(1.0 if content is None else content)
+            parts.append(sum(texts[b] for b in x.blocks) / len(x.blocks))
         n = len(parts)
         mean = sum(parts) / n if n else 0.0
-        out[id(x)] = mean if n < 2 else (1 - DECAY ** n) * max(look, mean) + DECAY ** n * mean
+        out[id(x)] = mean if n < 2 else (1 - DECAY ** n) * max(node[1] if node else 1.0, mean) + DECAY ** n * mean
     return out[id(e)]
 
 
-def main_text(markup: str | None, tree: dict[int, tuple[float, float | None]]) -> str:
-    """The main part's blocks without low branches, joined by spaces.  A
-    branch is low beside a page that is not: where all of it repeats, as on
-    copies of one page, nothing tells menus from text, and names decide alone."""
+def main_text(markup: str | None, tree: Tree) -> str:
+    """The blocks that names favour or the tree opens, without low texts and
+    branches, joined by spaces.  A branch with most of the page's varied text
+    is not low, however many others it has.  Where all of a page repeats, as
+    on copies of one page, nothing tells menus from text, and names decide alone."""
     root, blocks = parse(markup or "")
+    groups = groups_of(root)
+    order = [e for e in walk(root) if e.state >= 0]
+    opened = {p for p in {0, *groups.values()} if not p or tree.get((p, 0), (0, 0, False))[2]}
+    texts = {b: importance(e.path, blocks[b], tree) for e in order for b in e.blocks}
+    kept = {b for e in order if groups[id(e)] in opened for b in e.blocks}
+    varied = {id(e): sum(texts[b] * len(blocks[b]) for b in e.blocks if b in kept) for e in order}
+    for e in reversed(order):
+        if e is not root:
+            p = e.parent
+            while p.inline:
+                p = p.parent
+            varied[id(p)] += varied[id(e)]
+    if varied[id(root)] < VARIED * sum(len(blocks[b]) for b in kept):
+        return " ".join(blocks[b] for b in sorted(kept))
     imp: dict[int, float] = {}
-    weigh(root, tree, imp)
-    tops = [e for e in walk(root) if e.state == 1 and e.tag in MAIN and e.parent.state == 0] or [root]
+    weigh(root, tree, texts, imp)
     keep: list[int] = []
-    for top in tops:
-        todo = [top]
-        while todo:
-            e = todo.pop()
-            keep += e.blocks
-            for c in e.children:
-                if c.state >= 0 and not (imp[id(c)] < LOW <= imp[id(top)] and c.path in tree
-                                         and not (c.state == 1 and c.tag in PROSE)):
-                    todo.append(c)
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        keep += [b for b in e.blocks if b in kept and texts[b] >= LOW]
+        todo += [c for c in e.children if c.state >= 0 and not (
+            imp[id(c)] < LOW and (c.path, 0) in tree and 2 * varied[id(c)] < varied[id(root)])]
     return " ".join(blocks[b] for b in sorted(keep))
 
 
-#: Inside the main part, text of these stands by itself whatever repeats.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars per row of pages.
 
@@ -272,26 +346,32 @@ def extract(pages: DataFrame) -> DataFrame:
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html",
                        host_of(F.col("url")).alias("host"))
     tree = style_tree(src)
-    low = stored(tree.filter((F.col("look") < 2 * LOW) | (F.col("content") < 2 * LOW)), "tree")
+    tree = stored(tree.filter((F.col("text") != 0) | (F.col("look") < 2 * LOW) | F.col("open")), "tree")
 
     def own_paths(batch, _):
-        out = [[], [], []]
+        out = [[], [], [], []]
         for host, key, markup in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html"))):
-            paths = {e.path for e in walk(parse(markup or "")[0]) if e.state >= 0}
-            out[0] += [host] * len(paths)
-            out[1] += [key] * len(paths)
-            out[2] += paths
+            root, blocks = parse(markup or "")
+            groups = groups_of(root)
+            own = {(e.path, t) for e in walk(root) if e.state >= 0
+                   for t in (0, *(text_key(blocks[b]) for b in e.blocks))}
+            if OUTSIDE in groups.values():
+                own.add((OUTSIDE, 0))
+            out[0] += [host] * len(own)
+            out[1] += [key] * len(own)
+            out[2] += [p for p, _ in own]
+            out[3] += [t for _, t in own]
         return out
 
-    keyed = src.withColumn("key", F.xxhash64("url", "html"))
-    paths = arrow_map(keyed.select("host", "key", "html"), own_paths, "host string, key long, path long",
+    keyed = src.withColumn("key", F.xxhash64("host", "html"))
+    paths = arrow_map(keyed.select("host", "key", "html"), own_paths, "host string, key long, path long, text long",
                       slice_rows=512).distinct()
-    found = (paths.join(low, ["host", "path"]).groupBy("key")
-             .agg(F.collect_list(F.struct("path", "look", "content")).alias("tree")))
+    found = (paths.join(tree, ["host", "path", "text"]).groupBy("key")
+             .agg(F.collect_list(F.struct("path", "text", "pages", "look", "open")).alias("tree")))
 
     def fn(batch, _):
-        texts = [main_text(m, {t["path"]: (t["look"], t["content"]) for t in ts or ()}) for m, ts in zip(
-            batch.column("html").to_pylist(), batch.column("tree").to_pylist())]
+        texts = [main_text(m, {(t["path"], t["text"]): (t["pages"], t["look"], t["open"]) for t in ts or ()})
+                 for m, ts in zip(batch.column("html").to_pylist(), batch.column("tree").to_pylist())]
         return [batch.column("page_id"), batch.column("url"), texts, [len(t) for t in texts]]
 
     return arrow_map(keyed.join(found, "key", "left").select("page_id", "url", "html", "tree"), fn,

@@ -312,6 +312,31 @@ def test_main_text(spark):
         assert got[100 + i] == f"Story {i} {prose(30, i)}"
 
 
+def main_texts(spark, pages):
+    df = spark.createDataFrame([(i, "http://one.org/p", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_text.extract(df).orderBy("page_id").collect()]
+
+
+def test_main_text_by_importance(spark):
+    own = [prose(40, 100 + i) for i in range(20)]
+    # Unnamed parts that repeat go, inside and outside the main part, whatever their tags.
+    got = main_texts(spark, [
+        f"<body><p>Hello from us</p><article><h2>Our terms apply</h2><p>{t}</p><p>Write to us at any time</p><ul><li>First reader"
+        f"<li>Second reader</ul><table><tr><td>Price list</table><blockquote>{t[::-1]}</blockquote></article></body>" for t in own])
+    assert got == [f"{t} {t[::-1]}" for t in own]
+    # Cards in several articles beside the story; what repeats of them goes.
+    got = main_texts(spark, [f"<body><div><p>{t}</p><p>{t[::-1]}</p></div><article><p>Card of the day</p></article>"
+                             f"<article><p>Next {i}</p></article></body>" for i, t in enumerate(own)])
+    assert got == [f"{t} {t[::-1]} Next {i}" for i, t in enumerate(own)]
+    # The tree overrules a name that most of the varied text has; other names still count.
+    got = main_texts(spark, [f"<body><nav>Go {i}</nav><div class='with-sidebar'><p>{t}</p><div class='sidebar'>Seen {i}</div></div>"
+                             f"<span class='share'>Tell {i}</span></body>" for i, t in enumerate(own)])
+    assert got == own
+    # Few pages, or copies of one: names decide.
+    page = f"<body><nav>Go</nav><article><p>{own[0]}</p><p>To all</p></article></body>"
+    assert main_texts(spark, [page] * 20) == main_texts(spark, [page] * 2)[:1] * 20 == [own[0] + " To all"] * 20
+
+
 def brute_nearest(rows, queries, k):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     out = {}
