@@ -345,8 +345,7 @@ def extract(pages: DataFrame) -> DataFrame:
     White space is what Unicode counts as such, so no-break spaces too."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html",
                        host_of(F.col("url")).alias("host"))
-    tree = style_tree(src)
-    tree = stored(tree.filter((F.col("text") != 0) | (F.col("look") < 2 * LOW) | F.col("open")), "tree")
+    tree = stored(style_tree(src), "tree")
 
     def own_paths(batch, _):
         out = [[], [], [], []]

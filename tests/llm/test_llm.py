@@ -337,6 +337,17 @@ def test_main_text_by_importance(spark):
     assert main_texts(spark, [page] * 20) == main_texts(spark, [page] * 2)[:1] * 20 == [own[0] + " To all"] * 20
 
 
+def test_main_text_weighs_every_look(spark):
+    """A look of 0.625 counts as that, so the mean of the div is 0.298 where its text is on 6 of 16 pages."""
+    own = [prose(40, 200 + i) for i in range(16)]
+    looks = [0, 0, 1, 1, 2, 2, 3, 3, *[4] * 4, *[5] * 4]
+    got = main_texts(spark, [
+        f"<body><section>{t}</section><div><p>{'On six pages' if i % 3 == 0 else f'Own {i}'}</p>"
+        + "".join(f"<h{5 + (looks[i] >> j & 1)}></h{5 + (looks[i] >> j & 1)}>" for j in range(4)) + "</div></body>"
+        for i, t in enumerate(own)])
+    assert got == [t if i % 3 == 0 else f"{t} Own {i}" for i, t in enumerate(own)]
+
+
 def brute_nearest(rows, queries, k):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     out = {}
