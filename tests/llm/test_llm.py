@@ -377,6 +377,29 @@ def test_nearest(spark):
     assert nn_descent.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_walk_goes_on_until_the_beam_is_expanded(spark):
+    """The nearest is 12 edges away, and the beam holds more than one step expands."""
+    x = [[float(np.cos(i / 10)), float(np.sin(i / 10))] for i in range(13)]
+    found = spark.createDataFrame([(i, v) for i, v in enumerate(x[::-1])], "node long, emb array<double>")
+    graph = spark.createDataFrame([(12 - i, 11 - i) for i in range(12)], "a long, b long")
+    starts = spark.createDataFrame([(12,)], "q long")
+    got = nn_descent.search(starts, graph, found, nn_descent.small(found), beam=40, width=1)
+    assert {r.x for r in got.collect()} == set(range(13))
+
+
+def test_graph_converges_on_many_leaves(spark):
+    x = np.random.default_rng(4).standard_normal((1500, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[0] *= 9       # named a neighbour by half of all
+    found = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, emb array<double>")
+    compact = nn_descent.stored(nn_descent.small(found), "compact")
+    edges = {(r.a, r.b) for r in nn_descent.build(compact, k=8, tries=3, leaf=8, back=8).collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    want = [(i, int(j)) for i, near in enumerate(np.argsort(-s, axis=1)[:, :8]) for j in near]
+    assert np.mean([e in edges for e in want]) > 0.95
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
     docs = spark.read.parquet(f"{SF}/documents.parquet")
