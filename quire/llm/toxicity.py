@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import arrow_map, held_out, with_fields
 
 WORD = re.compile(r"[^\W\d_]+")
-WINDOW, STRIDE, HIDDEN, INPUTS = 32, 24, 8, 3
+WINDOW, HIDDEN, INPUTS = 32, 8, 3
 #: Bounds of the training sample: labelled documents, and characters of one.
 SAMPLE, SAMPLE_CHARS = 4000, 40_000
 
@@ -87,13 +87,13 @@ class Inputs(dict):
 
 
 def windows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of WINDOW positions every STRIDE, and their lengths; the
-    last one ends at the last word or beyond it."""
-    n = max(1, -(-(len(x) - WINDOW) // STRIDE) + 1)
-    padded = np.zeros(((n - 1) * STRIDE + WINDOW, INPUTS), np.float32)
-    padded[:len(x)] = x
-    at = np.arange(n)[:, None] * STRIDE + np.arange(WINDOW)
-    return padded[at], np.minimum(WINDOW, len(x) - np.arange(n) * STRIDE)
+    """All windows of WINDOW positions, one from each position (a view), and
+    their lengths; a shorter text is one window, filled up with zeros."""
+    short = WINDOW - len(x)
+    if short > 0:
+        x = np.concatenate([x, np.zeros((short, INPUTS), np.float32)])
+    w = np.lib.stride_tricks.sliding_window_view(x, WINDOW, axis=0).transpose(0, 2, 1)
+    return w, np.full(len(w), WINDOW - max(short, 0))
 
 
 def start_net(rng) -> dict:
@@ -107,13 +107,13 @@ def start_net(rng) -> dict:
     return net
 
 
-def gru(net, d, x, mask, keep=None):
-    """States (steps, n, HIDDEN); a masked step leaves the state as it is."""
+def gru(net, d, proj, mask, keep=None):
+    """States (steps, n, HIDDEN) over projected inputs; a masked step leaves
+    the state as it is."""
     H, U = HIDDEN, net[f"U{d}"]
-    proj = x @ net[f"W{d}"] + net[f"c{d}"]
-    h = np.zeros((x.shape[1], H), np.float32)
-    out = np.empty((len(x), x.shape[1], H), np.float32)
-    for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+    h = np.zeros((proj.shape[1], H), np.float32)
+    out = np.empty((len(proj), proj.shape[1], H), np.float32)
+    for t in range(len(proj)) if d == "f" else range(len(proj) - 1, -1, -1):
         rec = h @ U
         zr = sigmoid(proj[t, :, :2 * H] + rec[:, :2 * H])
         z, r = zr[:, :H], zr[:, H:]
@@ -129,9 +129,19 @@ def gru(net, d, x, mask, keep=None):
 def forward(net, x, lengths, keep=None):
     """Logits of windows x (n, steps, INPUTS)."""
     x = np.ascontiguousarray(x.transpose(1, 0, 2))
-    mask = (np.arange(len(x))[:, None] < lengths).astype(np.float32)[:, :, None]
+    return read(net, project(net, x), lengths, x, keep)
+
+
+def project(net, x):
+    """Inputs of both directions' gates; those of a position hold for all its windows."""
+    return [x @ net[f"W{d}"] + net[f"c{d}"] for d in "fb"]
+
+
+def read(net, proj, lengths, x=None, keep=None):
+    """Logits of windows from their projections (steps, n, 3 * HIDDEN)."""
+    mask = (np.arange(WINDOW)[:, None] < lengths).astype(np.float32)[:, :, None]
     kf, kb = ([], []) if keep is not None else (None, None)
-    h = np.concatenate([gru(net, "f", x, mask, kf), gru(net, "b", x, mask, kb)], axis=2)
+    h = np.concatenate([gru(net, "f", proj[0], mask, kf), gru(net, "b", proj[1], mask, kb)], axis=2)
     u = np.tanh(h @ net["a"])
     e = (u @ net["v"])[:, :, 0] - 1e4 * (1 - mask[:, :, 0])
     w = np.exp(e - e.max(axis=0))
@@ -189,34 +199,44 @@ def train(net, x, lengths, y, rng, steps=250, batch=256, rate=0.01):
 
 
 def document_logits(net, inputs: list[np.ndarray], most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Largest window logit of each document (which has a word), and which window."""
+    """Largest window logit of each document (which has a word), and which
+    window.  Each position is projected once; windows without any evidence
+    are all alike, so one of them is read for all."""
     top = np.full(len(inputs), -np.inf)
     where = np.zeros(len(inputs), np.int64)
-    own, offset, xs, ls, count = [], [], [], [], 0
+    blank = read(net, project(net, np.zeros((WINDOW, 1, INPUTS), np.float32)), np.array([WINDOW]))[0]
+    held: list[int] = []
 
     def flush():
-        nonlocal own, offset, xs, ls, count
-        if xs:
-            o, w = np.concatenate(own), np.concatenate(offset)
-            x, n = np.concatenate(xs), np.concatenate(ls)
-            s = np.concatenate([forward(net, x[i:i + most], n[i:i + most]) for i in range(0, len(x), most)])
-            order = np.lexsort((w, -s, o))
-            o, s, w = o[order], s[order], w[order]
-            lead = np.r_[True, o[1:] != o[:-1]]
-            top[o[lead]], where[o[lead]] = s[lead], w[lead]
-        own, offset, xs, ls, count = [], [], [], [], 0
-
+        size = np.array([len(inputs[i]) for i in held])
+        x = np.concatenate([*(inputs[i] for i in held), np.zeros((WINDOW, INPUTS), np.float32)])
+        count = np.maximum(1, size - WINDOW + 1)
+        own = np.repeat(np.arange(len(held)), count)
+        offset = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        start = np.repeat(np.cumsum(size) - size, count) + offset
+        lengths = np.minimum(WINDOW, size)[own]
+        some = np.r_[0, np.cumsum(x.any(axis=1))]
+        s = np.full(len(own), blank)
+        full = np.flatnonzero((some[start + lengths] > some[start]) | (lengths < WINDOW))
+        proj, steps = project(net, x), np.arange(WINDOW)[:, None]
+        for i in range(0, len(full), most):
+            part = full[i:i + most]
+            s[part] = read(net, [p[start[part] + steps] for p in proj], lengths[part])
+        order = np.lexsort((offset, -s, own))
+        lead = order[np.r_[True, own[order][1:] != own[order][:-1]]]
+        top[held], where[held] = s[lead], offset[lead]
+        held.clear()
+
+    words = 0
     for i, x in enumerate(inputs):
         if len(x):
-            w, n = windows(x)
-            own.append(np.full(len(w), i))
-            offset.append(np.arange(len(w)))
-            xs.append(w)
-            ls.append(n)
-            count += len(w)
-            if count >= most:
+            held.append(i)
+            words += len(x)
+            if words >= 4 * most:
                 flush()
-    flush()
+                words = 0
+    if held:
+        flush()
     return top, where
 
 

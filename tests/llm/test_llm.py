@@ -245,6 +245,18 @@ def test_network_gradient():
         assert np.isclose((loss(up) - loss(down)) / 2e-2, g[name][at], rtol=0.05, atol=5e-3), name
 
 
+def test_every_window_is_scored():
+    rng = np.random.default_rng(6)
+    net = toxicity.start_net(rng)
+    docs = [(rng.random((n, 3)) * (rng.random((n, 1)) < .1)).astype(np.float32) for n in (1, 20, 32, 33, 57, 100, 900, 0, 40)]
+    top, where = toxicity.document_logits(net, docs, most=64)
+    for x, s, at in zip(docs, top, where):
+        n = min(len(x), 32)
+        each = [toxicity.forward(net, np.pad(x[i:i + 32], ((0, 32 - n), (0, 0)))[None], np.array([n]))[0]
+                for i in range(max(1, len(x) - 31))] if len(x) else [-np.inf]
+        assert np.isclose(s, max(each), atol=1e-5) and (not len(x) or np.isclose(each[at], max(each), atol=1e-5))
+
+
 def test_language(spark):
     abc = {"aa": "bcdab", "bb": "xyzwx", "cc": "mnopq"}
     rng = np.random.default_rng(1)
