@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, html_text, language_id, license_scan, near_dup, nn_descent, packing, substring_dedup, toxicity, warc
+from quire.llm import (bpe_codec, conversation_repair, decontaminate, html_text, language_id, license_scan, near_dup,
+                       nn_descent, packing, periodic_runs, substring_dedup, toxicity, warc)
 from quire.llm.common import held_out, table
 
 
@@ -73,4 +74,26 @@ def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op3_nn_descent": op3_nn_descent, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_html_text": op10_html_text}
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text decoded from them."""
+    ids = bpe_codec.encode(table(spark, sf_dir, "documents"))
+    return bpe_codec.decode(ids).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, after the planted ones."""
+    docs = periodic_runs.planted(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.runs_and_collapsed(docs))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least-cost repair of every conversation, after damage."""
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(turns), turns.select("conv_id"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_license_scan, op2_toxicity, op3_nn_descent, op4_decontaminate, op5_suffix_dedup, op6_packing, op7_minhash,
+    op8_language_id, op9_warc, op10_html_text, op11_bpe_codec, op12_periodic_runs, op13_conversation_repair)}
