@@ -43,12 +43,13 @@ from quire.llm.common import GOLD, arrow_map, document_key, mix, stored
 LEAST = 12
 #: The first octave: periods below FIRST, tiles every FIRST / 2 words.
 FIRST = 8
-SLICE = 256
+#: Rows to a batch; comparisons made at once.
+SLICE, BLOCK = 256, 1 << 18
 
 
-def need(p):
+def need(p: int) -> int:
     """Least number of places i with word i = word i + p in a run of period p."""
-    return np.maximum(LEAST, 2 * p) - p
+    return max(LEAST, 2 * p) - p
 
 
 # ------------------------------------------------------------------ tiles
@@ -95,18 +96,22 @@ def tiles_of(codes: np.ndarray, bounds: np.ndarray):
                 size, h = 4, four
             while size < half:
                 h, size = longer(h, h, size), size * 2
-        for doc in np.flatnonzero(sizes >= max(LEAST, 2 * low)).tolist():
-            a, n = int(bounds[doc]), int(sizes[doc])
-            b = np.arange(0, n - low + 1, step)
-            p = np.arange(low, min(high, n // 2 + 1))
-            far = b[:, None] + p[None, :]
-            own = h[a:a + n]
-            ahead = (far + half <= n) & (own[np.minimum(b, n - 1)][:, None] == own[np.minimum(far, n - 1)])
-            behind = ((b >= half)[:, None] & (far <= n)
-                      & (own[np.maximum(b - half, 0)][:, None] == own[np.clip(far - half, 0, n - 1)]))
-            hit = ahead | behind
+        docs = np.flatnonzero(sizes >= max(LEAST, 2 * low))
+        count = (sizes[docs] - low) // step + 1
+        whose = np.repeat(docs, count)
+        places = (np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count)) * step
+        short = (h >> np.uint64(32)).astype(np.uint32)
+        periods, most = np.arange(low, high), max(1, BLOCK // (high - low))
+        for at in range(0, len(whose), most):
+            doc, b = whose[at:at + most], places[at:at + most]
+            here = bounds[doc] + b
+            far, end = here[:, None] + periods, bounds[doc + 1][:, None]
+            ahead = (far + half <= end) & (short[here][:, None] == short[np.minimum(far, len(h) - 1)])
+            behind = ((b >= half)[:, None] & (far <= end) & (short[np.maximum(here - half, 0)][:, None]
+                                                             == short[np.clip(far - half, 0, len(h) - 1)]))
+            hit = (ahead | behind) & (periods <= (sizes[doc] // 2)[:, None])
             for i in np.flatnonzero(hit.any(axis=1)).tolist():
-                yield doc, low, int(b[i]), p[hit[i]]
+                yield int(doc[i]), low, int(b[i]), periods[hit[i]]
 
 
 def tiles(docs: DataFrame) -> DataFrame:
@@ -149,20 +154,25 @@ def tiles(docs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ fragments
 
-def z_function(s: list) -> list[int]:
-    """For each place how long the text from there on agrees with its start."""
+def z_function(s: np.ndarray) -> list[int]:
+    """For each place how long the text from there on agrees with its start.
+    Places that differ from the first at once are passed over together."""
     n = len(s)
     z = [0] * n
     if n:
         z[0] = n
+        same = (np.flatnonzero(s[1:] == s[0]) + 1).tolist()
+        s = s.tolist()
+    else:
+        same = []
     left = right = 0
-    for i in range(1, n):
+    for i in same:
         k = min(right - i, z[i - left]) if i < right else 0
-        while i + k < n and s[k] == s[i + k]:
-            k += 1
-        z[i] = k
-        if i + k > right:
+        if i + k >= right:
+            while i + k < n and s[k] == s[i + k]:
+                k += 1
             left, right = i, i + k
+        z[i] = k
     return z
 
 
@@ -179,15 +189,14 @@ def _parts(p: int) -> tuple[int, ...]:
     return (*out, p // rest) if rest > 1 else tuple(out)
 
 
-def solve(words: list[int], lead: int, at: int, periods: np.ndarray) -> list[tuple[int, int, int]]:
+def solve(words: np.ndarray, lead: int, at: int, periods: np.ndarray) -> list[tuple[int, int, int]]:
     """(period, start, end) of the fragments across the tile's middle."""
     ahead = z_function(words[lead:])
     far = [p for p in periods.tolist() if lead + p <= len(words)]
     if not far:
         return []
     reach = lead + max(far)
-    back = z_function([*words[lead - 1::-1], -1, *words[reach - 1::-1]] if lead
-                      else [-1, *words[reach - 1::-1]])
+    back = z_function(np.concatenate([words[:lead][::-1], [-1], words[:reach][::-1]])) if lead else []
     out = []
     for p in far:
         on = ahead[p] if p < len(ahead) else 0
@@ -218,7 +227,7 @@ def fragments(tiled: DataFrame) -> DataFrame:
         cols = [batch.column(i).take(pa.array(at_tile)).to_pylist() for i in (1, 6, 7, 8, 9)]
         found: dict = {}
         for row, ident, at, lead, periods, words in zip(at_tile.tolist(), *cols):
-            got = solve(np.frombuffer(words, "<i4").tolist(), lead, at, np.frombuffer(periods, "<i4"))
+            got = solve(np.frombuffer(words, "<i4"), lead, at, np.frombuffer(periods, "<i4"))
             found.setdefault(ident, (row, []))[1].extend(got)
         rows, runs = docs.tolist(), [(0, None, None)] * len(docs)
         for row, parts in found.values():
