@@ -5,11 +5,14 @@ Weights follow the usual smoothed TF-IDF: raw count times
 is a long postings table ``(key, term, ...)``; no vectors, no dense matrix.
 
 Shuffles: (key, term) counts are combined map-side (each document is whole
-in its partition, so the partial aggregate already equals the postings);
-document frequency is a partial+final aggregate by term; the join of
-postings with it is where a very common term concentrates rows, which AQE's
-skew-join split handles (or a broadcast when the vocabulary is small, which
-AQE picks from runtime sizes).  Norms are one window by document.
+in its partition, so the partial aggregate already equals the postings).
+Texts are tokenized once: ``weights`` writes the postings to the shared
+folder and reads them back for each use.  Document frequency is a
+partial+final aggregate by term.  A term that stands in every document would
+put as many rows on one join key; such heavy hitters are split off by a first
+count and joined by broadcast (``with_frequency``), so that no key of the
+shuffled join has more than 1 / ``HEAVY_TERMS`` of the postings.  Norms are
+one window by document.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quire import config
 from quire.functions import text as T
+from quire.session import written
 
 
 def _keys(key: str | list[str]) -> list[str]:
@@ -76,12 +80,38 @@ def n_documents(docs: DataFrame) -> Column:
     return docs.select(F.count(F.lit(1))).scalar()
 
 
-def weights(postings: DataFrame, n_docs: Column, key: str = "uid") -> DataFrame:
+HEAVY_TERMS = 1000
+
+
+def with_frequency(postings: DataFrame, frequency: DataFrame, n_postings: int,
+                   heavy_terms: int = HEAVY_TERMS) -> DataFrame:
+    """``postings`` with the columns of ``frequency(term, df, ...)``, joined
+    on the term.
+
+    A term of more than n_postings / heavy_terms postings is a heavy hitter.
+    There are fewer than ``heavy_terms`` of them, whatever the data, so they
+    are broadcast and their postings stay where they are; the rest is
+    shuffled, at most n_postings / heavy_terms rows to a key.  ``df`` must
+    not be below a term's number of postings."""
+    limit = max(1, n_postings // heavy_terms)
+    heavy = F.broadcast(frequency.where(F.col("df") > limit))
+    return (postings.join(heavy, "term").unionByName(
+        postings.join(heavy.select("term"), "term", "left_anti")
+        .join(frequency.where(F.col("df") <= limit), "term")))
+
+
+def weights(postings: DataFrame, n_docs: Column, key: str = "uid",
+            heavy_terms: int = HEAVY_TERMS) -> DataFrame:
     """``(key, term, tf, df, weight)``, weight L2-normalised per document
-    (O-32, O-33).  Documents without terms have no rows (zero vectors)."""
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    (O-32, O-33).  Documents without terms have no rows (zero vectors).  With
+    a column ``copies`` a posting stands for so many documents."""
+    post = written(postings, "postings")
+    copies = F.sum("copies") if "copies" in post.columns else F.count(F.lit(1))
+    df = written(post.groupBy("term").agg(copies.alias("df")), "frequencies")
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    raw = postings.join(df, "term").withColumn("_w", F.col("tf") * idf)
+    # Frequencies with copies are at least as high as numbers of postings.
+    raw = (with_frequency(post, df, df.agg(F.sum("df")).first()[0] or 0, heavy_terms)
+           .withColumn("_w", F.col("tf") * idf))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", "tf", "df", (F.col("_w") / norm).alias("weight"))
 

@@ -85,6 +85,22 @@ sim AS (
   GROUP BY a.uid, b.uid
 )"""
 
+#: Pairs are stored from this score on.
+THRESHOLD = 0.7
+
+CLASSES_OF_TEXTS = """
+cls AS (
+  SELECT uid, min(uid) OVER (PARTITION BY coalesce(full_text, '')) AS rep,
+         count(*) OVER (PARTITION BY coalesce(full_text, '')) AS copies
+  FROM document
+)"""
+
+REP_PAIRS = f"""
+pairs AS MATERIALIZED (
+  SELECT uid_1, uid_2, score FROM sim
+  WHERE round(score, 9) >= {THRESHOLD} AND uid_1 IN (SELECT rep FROM cls) AND uid_2 IN (SELECT rep FROM cls)
+)"""
+
 BAND = f"""
 band AS (
   SELECT CAST(floor(n * {config.BAND_LOWER}) AS BIGINT) AS lo,
@@ -154,6 +170,18 @@ QUOTE = "replace(url_encode({0}), '%20', '+')"
 UNQUOTE = "url_decode(replace({0}, '+', ' '))"
 
 
+def related_top(where: str) -> str:
+    """The best related documents of each document, by window."""
+    return SIM + f""", r AS (
+          SELECT uid_1, uid_2, score,
+                 row_number() OVER (PARTITION BY uid_1 ORDER BY round(score, 9) DESC, uid_2) AS rank
+          FROM sim WHERE score < {config.RELATED_CUTOFF} AND {where})
+        SELECT r.uid_1, r.rank, d.uid, d.title,
+               {preview_sql('d.full_text', config.PREVIEW_RELATED)} AS preview,
+               round(r.score, 6) AS score
+        FROM r JOIN document d ON d.uid = r.uid_2 WHERE r.rank <= {config.RELATED_LIMIT}"""
+
+
 def _like(q: str) -> str:
     return _q("%" + q.lower() + "%")
 
@@ -209,7 +237,9 @@ ORACLE: dict[str, str] = {
     "labels": with_(DOCUMENT) + f"SELECT uid, classification, {LABEL} AS label FROM document",
     "url_round_trip": with_(DOCUMENT) + f"""SELECT uid, title, {QUOTE.format('title')} AS quoted,
         {UNQUOTE.format(QUOTE.format('title'))} AS unquoted FROM document""",
-    "pair_table": SIM + "SELECT uid_1, uid_2, " + R6.format("score") + " FROM sim",
+    "text_classes": with_(DOCUMENT, CLASSES_OF_TEXTS) + "SELECT uid, rep, copies FROM cls",
+    "pair_table": with_(DOCUMENT, TOKENS, UNIGRAMS, WEIGHTS, PAIRS, CLASSES_OF_TEXTS, REP_PAIRS)
+    + "SELECT uid_1, uid_2, " + R6.format("score") + " FROM pairs",
     "pair_counts": SIM + f""", c AS (SELECT count(*) AS stored,
             count(*) FILTER (WHERE score < {config.CHECK_CUTOFF}) AS below FROM sim),
         n AS (SELECT count(*) AS n FROM document)
@@ -232,14 +262,8 @@ ORACLE: dict[str, str] = {
         FROM document d JOIN sim s ON d.uid = s.uid_2
         WHERE s.uid_1 = {_q(SAMPLE_UID)} AND s.score < {config.RELATED_CUTOFF}
         ORDER BY round(s.score, 9) DESC, d.uid LIMIT {config.RELATED_LIMIT}""",
-    "related_all": SIM + f""", r AS (
-          SELECT uid_1, uid_2, score,
-                 row_number() OVER (PARTITION BY uid_1 ORDER BY round(score, 9) DESC, uid_2) AS rank
-          FROM sim WHERE score < {config.RELATED_CUTOFF})
-        SELECT r.uid_1, r.rank, d.uid, d.title,
-               {preview_sql('d.full_text', config.PREVIEW_RELATED)} AS preview,
-               round(r.score, 6) AS score
-        FROM r JOIN document d ON d.uid = r.uid_2 WHERE r.rank <= {config.RELATED_LIMIT}""",
+    "related_all": related_top(f"round(score, 9) >= {THRESHOLD}"),
+    "related_batch": related_top("CAST(uid_1 AS BIGINT) % 100 = 0"),
 }
 
 
@@ -559,13 +583,9 @@ ORACLE.update({
 ORACLE.update({
     "actions": """SELECT CAST(user_id AS VARCHAR) AS pid, event_type AS action,
         CAST(event_id AS VARCHAR) AS rid, ts AS datetime FROM events""",
-    "similar_upsert": SIM + """,
-        fresh AS MATERIALIZED (SELECT uid_1, uid_2, score FROM sim),
-        old AS (SELECT uid_1, uid_2, round(score, 2) AS score FROM fresh),
-        new AS (SELECT f.* FROM fresh f WHERE f.uid_1 IN (SELECT uid FROM document WHERE category = 'en'))
-        SELECT uid_1, uid_2, round(score, 6) AS score FROM (
-          SELECT o.* FROM old o ANTI JOIN new n ON o.uid_1 = n.uid_1 AND o.uid_2 = n.uid_2
-          UNION ALL SELECT * FROM new)""",
+    "similar_upsert": with_(DOCUMENT, TOKENS, UNIGRAMS, WEIGHTS, PAIRS, CLASSES_OF_TEXTS, REP_PAIRS) + """
+        SELECT p.uid_1, p.uid_2, round(CASE WHEN d.category = 'en' THEN score ELSE round(score, 2) END, 6) AS score
+        FROM pairs p JOIN document d ON d.uid = p.uid_1""",
     "document_with_top_terms": DOC_TT + """SELECT uid, u_date, doc_date, addressee, classification,
         category, from_bur, from_auth, title, file_name, has_attachments,
         CAST(NULL AS VARCHAR) AS attach_urls, CAST(NULL AS VARCHAR) AS approved_bur,

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import config, fixtures
-from quire.operators import search, tfidf
+from quire.operators import index, search, tfidf
 from quire.operators import similarity as S
 from quire.plans import analysis
+from quire.session import shared_path, written
+from quire.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,8 +44,8 @@ def _ngram_weights(spark, sf_dir):
     return analysis.ngram_weights(_doc(spark, sf_dir))
 
 
-def _similar(spark, sf_dir):
-    return S.pair_table(_doc(spark, sf_dir))
+def _vectors(spark, sf_dir):
+    return S.text_vectors(_doc(spark, sf_dir))
 
 
 def tokens(spark, sf_dir):
@@ -138,41 +140,65 @@ def url_round_trip(spark, sf_dir):
     return search.url_round_trip(_doc(spark, sf_dir).select("uid", "title"), "title")
 
 
+def text_classes(spark, sf_dir):
+    return S.text_classes(_doc(spark, sf_dir))
+
+
 def pair_table(spark, sf_dir):
-    return _r6(_similar(spark, sf_dir), "score")
+    return _r6(S.pair_table(_doc(spark, sf_dir)), "score")
 
 
 def pair_counts(spark, sf_dir):
-    doc = _doc(spark, sf_dir)
-    return S.pair_counts(S.pair_table(doc), tfidf.n_documents(doc))
+    return S.pair_counts(*_vectors(spark, sf_dir))
 
 
 def top_scores(spark, sf_dir):
-    return _r6(S.top_scores(_similar(spark, sf_dir)), "score")
+    return _r6(S.top_scores(*_vectors(spark, sf_dir)), "score")
 
 
 def similar_titles(spark, sf_dir):
-    doc = _doc(spark, sf_dir)
-    return _r6(S.similar_titles(doc, S.pair_table(doc)), "score")
+    return _r6(S.similar_titles(_doc(spark, sf_dir), *_vectors(spark, sf_dir)), "score")
+
+
+def _one(spark):
+    return spark.createDataFrame([(SAMPLE_UID,)], "uid string")
 
 
 def similar_titles_for(spark, sf_dir):
     doc = _doc(spark, sf_dir)
-    return _r6(S.similar_titles(doc, S.pair_table(doc), uid=SAMPLE_UID), "score")
+    best = index.search(index.build(doc), _one(spark), config.CHECK_LIMIT, config.CHECK_CUTOFF).best
+    titles = doc.select(F.col("uid").alias("uid_2"), F.col("title").alias("title_2"))
+    return _r6(best.join(titles, "uid_2").select("uid_2", "title_2", "score"), "score")
 
 
 def related(spark, sf_dir):
     doc = _doc(spark, sf_dir)
-    return _r6(S.related(doc, S.pair_table(doc), SAMPLE_UID), "score")
+    best = index.search(index.build(doc), _one(spark)).best
+    return _r6(S.with_documents(best, doc).drop("uid_1", "rank"), "score")
+
+
+def related_batch(spark, sf_dir):
+    """Every document whose id is divisible by 100, against all documents."""
+    doc = _doc(spark, sf_dir)
+    asked = fixtures.read(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(
+        F.col("doc_id").cast("string").alias("uid"))
+    return _r6(S.with_documents(index.search(index.build(doc), asked).best, doc), "score")
 
 
 def related_all(spark, sf_dir):
-    return _r6(S.related_all_on_demand(_doc(spark, sf_dir)), "score")
+    """Every document, among the pairs of at least the stored threshold."""
+    doc = _doc(spark, sf_dir)
+    members, vectors = S.text_vectors(doc)
+    return _r6(S.related_all(doc, members, S.oriented(vectors, S.cosine_join(vectors))), "score")
 
 
 def related_all_stored(spark, sf_dir):
+    """The same from the pair table as it is stored."""
     doc = _doc(spark, sf_dir)
-    return _r6(S.related_all(doc, S.pair_table(doc)), "score")
+    root = shared_path(spark, "portal")
+    tables.replace_table(S.pair_table(doc), root, "similar")
+    members = S.text_classes(doc)
+    return _r6(S.related_all(doc, members, tables.read_table(spark, root, "similar")), "score")
 
 
 def _memo(spark, sf_dir):
@@ -282,10 +308,8 @@ def table_files(spark, sf_dir):
 def similar_upsert(spark, sf_dir):
     """Upsert a partial recompute (pairs of English documents) into an
     older pair table (scores kept to 2 digits)."""
-    from quire.session import cut_lineage
-    from quire.sources import tables
     doc = _doc(spark, sf_dir)
-    fresh = cut_lineage(S.pair_table(doc))
+    fresh = written(S.pair_table(doc), "pairs")
     old = fresh.withColumn("score", F.round("score", 2))
     en = doc.where(F.col("category") == "en").select(F.col("uid").alias("uid_1"))
     new = fresh.join(en, "uid_1", "left_semi")
@@ -316,12 +340,14 @@ QUERIES: dict[str, Query] = {
     "previews": previews,
     "labels": labels,
     "url_round_trip": url_round_trip,
+    "text_classes": text_classes,
     "pair_table": pair_table,
     "pair_counts": pair_counts,
     "top_scores": top_scores,
     "similar_titles": similar_titles,
     "similar_titles_for": similar_titles_for,
     "related": related,
+    "related_batch": related_batch,
     "related_all": related_all,
     "related_all_stored": related_all_stored,
     "memo_dedup": memo_dedup,

@@ -19,9 +19,13 @@ def test_equality_filter_pushed_to_parquet(spark):
 
 
 def test_similarity_has_no_nested_loop_or_python(spark):
-    p = _plan(similarity.pair_table(fixtures.document(spark, SF_SMALL)))
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval"):
-        assert bad not in p
+    """The plans that are run: each step's input is a written table."""
+    _, vectors = similarity.text_vectors(fixtures.document(spark, SF_SMALL))
+    prefix = similarity.prefixes(vectors, 0.5)
+    for df in (prefix, similarity.candidates(prefix, 0.5), similarity.cosine_join(vectors, 0.5)):
+        p = _plan(df)
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas", "Arrow"):
+            assert bad not in p
 
 
 def test_entity_match_has_no_nested_loop(spark):
