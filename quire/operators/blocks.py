@@ -10,6 +10,8 @@ removal, the cut of descriptions) is built-in expressions.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import sys
 from collections.abc import Iterator
 
@@ -31,48 +33,58 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK_FIELDS = "pos int, tag string, text string, html string"
 
 
+#: Characters of blocks held before they are handed to Spark.
+FLUSH_CHARS = 4_000_000
+
+
 def _block_job(pages: DataFrame, key: str, html: str, fn) -> DataFrame:
     key_type = pages.schema[key].dataType.simpleString()
     schema = f"{key} {key_type}, {BLOCK_FIELDS}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, pos, tags, texts, htmls = [], [], [], [], []
+            rows, size = [], 0
+
+            def flush():
+                out = pd.DataFrame(rows, columns=[key, "pos", "tag", "text", "html"])
+                return out.astype({key: pdf[key].dtype, "pos": "int32"})
+
             for k, markup in zip(pdf[key], pdf[html]):
                 for i, (tag, text, h) in enumerate(fn(markup)):
-                    keys.append(k)
-                    pos.append(i)
-                    tags.append(tag)
-                    texts.append(text)
-                    htmls.append(h)
-            yield pd.DataFrame({key: pd.Series(keys, dtype=pdf[key].dtype),
-                                "pos": pd.Series(pos, dtype="int32"), "tag": tags,
-                                "text": texts, "html": htmls})
+                    rows.append((k, i, tag, text, h))
+                    size += len(text) + len(h)
+                    if size > FLUSH_CHARS:
+                        yield flush()
+                        rows, size = [], 0
+            if rows:
+                yield flush()
 
     return pages.select(key, html).mapInPandas(run, schema)
 
 
-def _dedup_first(blocks: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-    seen, out = set(), []
+def _dedup_first(blocks):
+    """Blocks whose html came before are left out; hashes are kept, not texts."""
+    seen = set()
     for b in blocks:
-        if b[2] not in seen:
-            seen.add(b[2])
-            out.append(b)
-    return out
+        h = hashlib.blake2b(b[2].encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if h not in seen:
+            seen.add(h)
+            yield b
 
 
 def page_blocks(pages: DataFrame, key: str = "page_id", html: str = "html",
                 remove_chars: str = config.REMOVE_CHARS, dedup: bool = True,
-                keep_empty: bool = False) -> DataFrame:
+                keep_empty: bool = False, implied_ends: bool = False) -> DataFrame:
     """``(key, pos, tag, text, html)``: the flattened body of every page
     (O-19), listed characters removed (O-18), repeated blocks dropped,
     first one kept (O-20), positions 0.. in document order.  With
-    ``keep_empty`` a page without blocks has one empty paragraph."""
+    ``keep_empty`` a page without blocks has one empty paragraph; with
+    ``implied_ends`` an open paragraph ends where the next block starts."""
     def fn(markup):
-        b = H.tidy_blocks(markup, remove_chars)
-        if keep_empty and not b:
-            return [("p", "", "<p></p>")]
-        return _dedup_first(b) if dedup else b
+        b = H.tidy_blocks(markup, remove_chars, implied_ends)
+        b = _dedup_first(b) if dedup else b
+        first = next(b, ("p", "", "<p></p>") if keep_empty else None)
+        return () if first is None else itertools.chain([first], b)
     return _block_job(pages, key, html, fn)
 
 
