@@ -164,6 +164,19 @@ def descriptions_view(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", _escape_all(raw).alias("description"))
 
 
+def search_queries_view(benchmark: DataFrame) -> DataFrame:
+    """``(qid, q)``: a search term from every benchmark text: ten characters,
+    the same with a wildcard character, with a wildcard run, two characters
+    only, and wildcards only."""
+    s = F.substring("text", 5, 10)
+    kind = F.col("item_id") % 5
+    q = (F.when(kind == 0, s).when(kind == 1, F.concat(F.substring(s, 1, 3), F.lit("_"), F.substring(s, 5, 6)))
+         .when(kind == 2, F.concat(F.substring(s, 1, 4), F.lit("%"), F.substring(s, 7, 4)))
+         .when(kind == 3, F.substring(s, 1, 2))
+         .otherwise(F.repeat(F.lit("_"), (F.col("item_id") * 37 % 3000).cast("int"))))
+    return benchmark.select(F.col("item_id").alias("qid"), q.alias("q"))
+
+
 WORD_RUN = r"[\p{L}\p{N}_]+"
 
 

@@ -224,6 +224,18 @@ ORACLE: dict[str, str] = {
     "search_quoted": with_(DOCUMENT) + f"""SELECT {LISTING} FROM document
         WHERE {ASCII_LOWER.format('full_text')} LIKE {_like(SEARCH_TERM)}
         ORDER BY u_date DESC, uid LIMIT {config.SEARCH_LIMIT}""",
+    "search_batch": with_(DOCUMENT) + f""", queries AS (
+          SELECT item_id AS qid, substr(text, 5, 10) AS s FROM benchmark),
+        patterns AS (
+          SELECT qid, '%' || {ASCII_LOWER.format("""CASE qid % 5 WHEN 0 THEN s
+                 WHEN 1 THEN substr(s, 1, 3) || '_' || substr(s, 5, 6)
+                 WHEN 2 THEN substr(s, 1, 4) || '%' || substr(s, 7, 4)
+                 WHEN 3 THEN substr(s, 1, 2)
+                 ELSE repeat('_', CAST(qid * 37 % 3000 AS INTEGER)) END""")} || '%' AS p FROM queries),
+        hits AS (
+          SELECT qid, d.*, row_number() OVER (PARTITION BY qid ORDER BY u_date DESC, uid) AS rank
+          FROM document d JOIN patterns ON {ASCII_LOWER.format('full_text')} LIKE p)
+        SELECT qid, rank, {LISTING} FROM hits WHERE rank <= {config.SEARCH_LIMIT}""",
     "detail": DOC_TT + f"""SELECT uid, classification, title, doc_date, from_auth, from_bur,
         category, addressee, file_name, html, full_text,
         CASE WHEN top_terms = '' THEN []::VARCHAR[] ELSE string_split(top_terms, ',') END
@@ -586,6 +598,13 @@ ORACLE.update({
     "similar_upsert": with_(DOCUMENT, TOKENS, UNIGRAMS, WEIGHTS, PAIRS, CLASSES_OF_TEXTS, REP_PAIRS) + """
         SELECT p.uid_1, p.uid_2, round(CASE WHEN d.category = 'en' THEN score ELSE round(score, 2) END, 6) AS score
         FROM pairs p JOIN document d ON d.uid = p.uid_1""",
+    "table_append": with_(DOCUMENT) + "SELECT uid, coalesce(title, '') AS title, 2 AS n FROM document",
+    "document_upsert": with_(DOCUMENT) + """SELECT uid,
+        CASE WHEN CAST(uid AS BIGINT) % 3 = 0 THEN coalesce(title, '') ELSE 'old' END AS title, category,
+        coalesce(from_bur, '') AS from_bur,
+        CASE WHEN CAST(uid AS BIGINT) % 5 = 0 THEN coalesce(from_bur, '') END AS top_terms
+        FROM document WHERE CAST(uid AS BIGINT) % 4 <> 3 OR CAST(uid AS BIGINT) % 3 = 0""",
+    "merged_batches": with_(DOCUMENT) + "SELECT uid, coalesce(title, '') AS title, category FROM document",
     "document_with_top_terms": DOC_TT + """SELECT uid, u_date, doc_date, addressee, classification,
         category, from_bur, from_auth, title, file_name, has_attachments,
         CAST(NULL AS VARCHAR) AS attach_urls, CAST(NULL AS VARCHAR) AS approved_bur,

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import config, fixtures
-from quire.operators import index, search, tfidf
+from quire.operators import index, search, textindex, tfidf
 from quire.operators import similarity as S
 from quire.plans import analysis
 from quire.session import shared_path, written
-from quire.sources import tables
+from quire.sources import tables, versioned
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,6 +114,13 @@ def search_quoted(spark, sf_dir):
                          quoted=True)
 
 
+def search_batch(spark, sf_dir):
+    """A query from every benchmark item, against all documents."""
+    doc = _doc(spark, sf_dir)
+    queries = fixtures.search_queries_view(fixtures.read(spark, sf_dir, "benchmark"))
+    return textindex.search_batch(doc, textindex.build(doc), queries)
+
+
 def detail(spark, sf_dir):
     # the id is filtered as a number, so the lookup reaches the Parquet scan
     doc = _doc(spark, sf_dir)
@@ -316,6 +323,48 @@ def similar_upsert(spark, sf_dir):
     return _r6(tables.upsert(old, new, ["uid_1", "uid_2"]), "score")
 
 
+def _document_table(spark):
+    path = shared_path(spark, "document-table")
+    versioned.create(spark, path, tables.DOCUMENT_SCHEMA, ["uid"])
+    return path
+
+
+def _filled(spark, sf_dir):
+    """The document table's rows, without missing texts."""
+    doc = tables.conform(_doc(spark, sf_dir), tables.DOCUMENT_SCHEMA)
+    return doc.fillna("", ["full_text", "html", "title", "from_bur"])
+
+
+def table_append(spark, sf_dir):
+    """A new table and two appends of all documents: nothing is replaced."""
+    path, doc = _document_table(spark), _filled(spark, sf_dir)
+    versioned.append(doc, path)
+    versioned.append(doc, path)
+    return versioned.read(spark, path).groupBy("uid", "title").agg(F.count(F.lit(1)).alias("n"))
+
+
+def document_upsert(spark, sf_dir):
+    """Three quarters of the documents with an old title, an upsert of every
+    third document, and a column set for every fifth."""
+    path, doc, n = _document_table(spark), _filled(spark, sf_dir), F.col("uid").cast("long")
+    versioned.append(doc.where(n % 4 != 3).withColumn("title", F.lit("old")), path)
+    versioned.upsert(doc.where(n % 3 == 0), path)
+    versioned.update_column(doc.where(n % 5 == 0).select("uid", F.col("from_bur").alias("top_terms")), path, "top_terms")
+    return versioned.read(spark, path).select("uid", "title", "category", "from_bur", "top_terms")
+
+
+def merged_batches(spark, sf_dir):
+    """All documents as three batches of a stream; two are replayed with
+    other titles, which changes nothing."""
+    path, doc, n = _document_table(spark), _filled(spark, sf_dir), F.col("uid").cast("long")
+    for batch in (0, 1, 1, 2, 0):
+        rows = doc.where(n % 3 == batch)
+        if batch < versioned.version(spark, path).batches.get("documents", -1) + 1:
+            rows = rows.withColumn("title", F.lit("replayed"))
+        versioned.upsert(rows, path, "documents", batch)
+    return versioned.read(spark, path).select("uid", "title", "category")
+
+
 def document_with_top_terms(spark, sf_dir):
     return analysis.with_top_terms(_doc(spark, sf_dir)).drop("html", "full_text")
 
@@ -335,6 +384,7 @@ QUERIES: dict[str, Query] = {
     "feed_parsed_dates": feed_parsed_dates,
     "search": search_text,
     "search_quoted": search_quoted,
+    "search_batch": search_batch,
     "detail": detail,
     "category_filter": category_filter,
     "previews": previews,
@@ -369,5 +419,8 @@ QUERIES: dict[str, Query] = {
     "ingest_pages": ingest_pages,
     "table_files": table_files,
     "similar_upsert": similar_upsert,
+    "table_append": table_append,
+    "document_upsert": document_upsert,
+    "merged_batches": merged_batches,
     "document_with_top_terms": document_with_top_terms,
 }
