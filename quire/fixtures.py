@@ -157,10 +157,11 @@ def _escape_all(c: Column) -> Column:
 
 
 def descriptions_view(pages: DataFrame) -> DataFrame:
-    """Feed items from ``pages``: the escaped page title followed by an
-    escaped ``<div>`` carrying the url, as feeds deliver descriptions."""
+    """Feed items from ``pages``: the escaped page title and markup, followed
+    by an escaped ``<div>`` carrying the url, as feeds deliver descriptions.
+    What stands before the page's own first ``<div`` is the description."""
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    raw = F.concat(title, F.lit('<div class="more">'), F.col("url"), F.lit("</div>"))
+    raw = F.concat(title, F.lit(" "), F.col("html"), F.lit('<div class="more">'), F.col("url"), F.lit("</div>"))
     return pages.select("page_id", _escape_all(raw).alias("description"))
 
 
@@ -180,35 +181,28 @@ def search_queries_view(benchmark: DataFrame) -> DataFrame:
 WORD_RUN = r"[\p{L}\p{N}_]+"
 
 
-def entity_dim_view(documents: DataFrame, benchmark: DataFrame,
-                    conversations: DataFrame) -> DataFrame:
-    """``(kind, key, name, url)`` dictionaries drawn from the given tables:
-    bureaus are the 70 most frequent 2-4 character words of the documents,
-    partners the opening word of every benchmark text, countries the 200
-    most frequent capitalised words (5+ letters) of the conversations, so
-    that some country keys are prefixes of others."""
-    words = documents.select(F.explode(F.regexp_extract_all("text", F.lit(WORD_RUN), 0))
-                             .alias("w")).where(F.length("w").between(2, 4))
-    top_b = (words.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-             .orderBy(F.col("c").desc(), F.col("w")).limit(70))
-    bureaus = top_b.select(F.lit("bureau").alias("kind"), F.col("w").alias("key"),
-                           F.concat(F.lit("Bureau of "), "w").alias("name"),
-                           F.concat(F.lit("https://example.org/bureaus/"), "w").alias("url"))
-    first = benchmark.select(F.regexp_extract("text", "^" + WORD_RUN, 0).alias("k")) \
-        .where(F.col("k") != "").distinct()
-    partners = first.select(F.lit("partner").alias("kind"), F.col("k").alias("key"),
-                            F.concat(F.lit("Partner "), "k").alias("name"),
-                            F.concat(F.lit("https://example.org/partners/"), "k").alias("url"))
-    caps = conversations.select(
-        F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{4,}"), 0)).alias("w"))
-    top_c = (caps.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-             .orderBy(F.col("c").desc(), F.col("w")).limit(200))
-    countries = top_c.select(F.lit("country").alias("kind"), F.col("w").alias("key"),
-                             F.col("w").alias("name"),
-                             F.concat(F.lit("https://example.org/countries/"), "w").alias("url"))
+def entity_dim_view(benchmark: DataFrame, conversations: DataFrame) -> DataFrame:
+    """``(kind, key, name, url)`` dictionaries drawn from the given tables,
+    all of them, without a limit: bureaus are the words (two characters or
+    more) of the benchmark texts, partners their opening word and their first
+    fourteen characters (keys with spaces and marks), countries the
+    capitalised words (5+ letters) of the conversations, so that some country
+    keys are prefixes of others."""
+    def dim(kind, keys, name, folder):
+        return keys.where(F.col("k") != "").distinct().select(
+            F.lit(kind).alias("kind"), F.col("k").alias("key"), F.concat(F.lit(name), "k").alias("name"),
+            F.concat(F.lit(f"https://example.org/{folder}/"), "k").alias("url"))
+
+    def words(table, pattern):
+        return table.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("k"))
+
+    bureaus = dim("bureau", words(benchmark, WORD_RUN).where(F.length("k") >= 2), "Bureau of ", "bureaus")
+    opening = benchmark.select(F.regexp_extract("text", "^" + WORD_RUN, 0).alias("k")).unionByName(
+        benchmark.select(F.substring("text", 1, 14).alias("k")))
+    partners = dim("partner", opening, "Partner ", "partners")
+    countries = dim("country", words(conversations, r"\p{Lu}\p{Ll}{4,}"), "", "countries")
     return bureaus.unionByName(partners).unionByName(countries)
 
 
 def entity_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_dim_view(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"),
-                           read(spark, sf_dir, "conversations"))
+    return entity_dim_view(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "conversations"))

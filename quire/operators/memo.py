@@ -10,6 +10,8 @@ whole parse costs one shuffle by document.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,13 +197,16 @@ def parse_header(blocks: DataFrame, key: str = "doc_id",
 # ---------------------------------------------------------------- O-23, O-24
 
 def _positions(blocks: DataFrame, key: str, start_regex: str,
-               end_regex: str | None) -> DataFrame:
+               end_regex: str | None, start: int | None = None) -> DataFrame:
     w = Window.partitionBy(key)
     t = F.col("text")
     approved = t.startswith("Approved:")
+    # The body begins behind the start line; a given start is its first block.
+    begin = (F.min(F.when(t.rlike(start_regex), F.col("pos"))).over(w) if start is None
+             else F.lit(start - 1))
     b = blocks.select(
         "*",
-        F.min(F.when(t.rlike(start_regex), F.col("pos"))).over(w).alias("_start"),
+        begin.cast("int").alias("_start"),
         (F.min(F.when(t.rlike(end_regex), F.col("pos"))).over(w) if end_regex
          else F.lit(None).cast("int")).alias("_end"),
         F.count(F.when(approved, 1)).over(w).alias("_n_appr"),
@@ -226,7 +231,7 @@ def body_fields(html_class: str = config.HTML_CLASS) -> list[Column]:
     """``full_text`` (block texts, marks as words, single spaces) and
     ``html`` (blocks with mark spans inside the document div) (O-23)."""
     placeholder_html = F.lit(config.NO_START_BODY)
-    placeholder_text = F.lit("Could not locate start of document - check logs")
+    placeholder_text = F.lit(re.sub("<[^>]*>", "", config.NO_START_BODY))
     htmls = F.transform("_body", lambda s: s["h"])
     texts = F.transform("_body", lambda s: s["t"])
     div_open, div_close = f'<div class="{html_class}">', "</div>"
@@ -284,13 +289,16 @@ def footer_fields() -> list[Column]:
 def parse(blocks: DataFrame, key: str = "doc_id", has_header: bool = True,
           has_footer: bool = False, start_regex: str = START_PATTERN,
           end_regex: str | None = None, html_class: str = config.HTML_CLASS,
-          header_lines: int = config.HEADER_LINES) -> DataFrame:
+          header_lines: int = config.HEADER_LINES, start: int | None = None) -> DataFrame:
     """One row per document: header, body and footer fields (O-22..O-24c).
 
+    The body begins behind the first line that matches ``start_regex``, or,
+    if ``start`` is given, with the block of that position, whatever it says.
+
     Without header the header columns are null; without footer
     ``has_attachments`` is 0 and the other footer fields null, as the
     portal's record builder does."""
-    b = _positions(with_html(blocks), key, start_regex, end_regex)
+    b = _positions(with_html(blocks), key, start_regex, end_regex, start)
     aggs = dict(body_aggregates())
     if has_header:
         aggs.update(header_aggregates(header_lines))
@@ -306,13 +314,6 @@ def parse(blocks: DataFrame, key: str = "doc_id", has_header: bool = True,
     return g.select(key, *hdr, *body_fields(html_class), *ftr)
 
 
-def parse_footer(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Footer fields only (O-24a..c)."""
-    b = _positions(blocks, key, START_PATTERN, None)
-    g = b.groupBy(key).agg(*[v.alias(k) for k, v in footer_aggregates().items()])
-    return g.select(key, *footer_fields())
-
-
 # ---------------------------------------------------------------- O-15
 
 def to_records(parsed: DataFrame, file_name: str | Column, uid: Column | None = None,

@@ -279,6 +279,11 @@ ORACLE: dict[str, str] = {
 }
 
 
+ORACLE["feed_clustered"] = ORACLE["feed"]
+ORACLE["document_frequencies"] = ("WITH " + DOCUMENT.strip().replace("document AS (", "original AS (", 1) + """,
+document AS (SELECT uid, CASE WHEN CAST(uid AS BIGINT) % 5 = 0 THEN title ELSE full_text END AS full_text FROM original)"""
+                                  + "," + TOKENS + "," + NGRAMS + """
+SELECT term, count(DISTINCT uid) AS df FROM grams GROUP BY term""")
 ORACLE["related_all_stored"] = ORACLE["related_all"]
 
 
@@ -539,36 +544,43 @@ ORACLE.update({
     "fetched_pages": """SELECT page_id, url, 200 AS status FROM pages WHERE page_id % 17 <> 0""",
     "removed_chars": "SELECT page_id, replace(html, chr(160), '') AS html FROM pages",
     "descriptions": "SELECT page_id, regexp_replace(" + _UNESC.format(_ESC.format(
-        "regexp_extract(html, '<title>(.*?)</title>', 1) || '<div class=\"more\">' || url || '</div>'"))
+        "regexp_extract(html, '<title>(.*?)</title>', 1) || ' ' || html || '<div class=\"more\">' || url || '</div>'"))
     + ", '(?s)<div.*', '') AS description FROM pages",
 })
 
 
+#: Files hold UTF-8, which the scan reads byte by byte as Latin-1.
+ORACLE["html_files"] = """WITH bytes AS (
+      SELECT array_to_string(list_transform(regexp_extract_all(hex(encode(html)), '..'),
+                                            lambda x: chr(CAST('0x' || x AS INTEGER))), '') AS html
+      FROM pages WHERE html IS NOT NULL)
+    SELECT line, count(*) AS n FROM (SELECT unnest(string_split(html, chr(10))) AS line FROM bytes) GROUP BY line"""
+
+
 # ---------------------------------------------------------------- entities
 
 ENTITY_DIM = """
-bw AS (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents),
 bureaus AS (
-  SELECT 'bureau' AS kind, w AS key, 'Bureau of ' || w AS name,
+  SELECT DISTINCT 'bureau' AS kind, w AS key, 'Bureau of ' || w AS name,
          'https://example.org/bureaus/' || w AS url
-  FROM (SELECT w, count(*) AS c FROM bw WHERE length(w) BETWEEN 2 AND 4
-        GROUP BY w ORDER BY c DESC, w LIMIT 70)
+  FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM benchmark) WHERE length(w) >= 2
 ),
 partners AS (
   SELECT DISTINCT 'partner' AS kind, k AS key, 'Partner ' || k AS name,
          'https://example.org/partners/' || k AS url
-  FROM (SELECT regexp_extract(text, '^[\\p{L}\\p{N}_]+', 0) AS k FROM benchmark) WHERE k <> ''
+  FROM (SELECT regexp_extract(text, '^[\\p{L}\\p{N}_]+', 0) AS k FROM benchmark
+        UNION ALL SELECT substr(text, 1, 14) FROM benchmark) WHERE k <> ''
 ),
-cw AS (SELECT unnest(regexp_extract_all(text, '\\p{Lu}\\p{Ll}{4,}')) AS w FROM conversations),
 countries AS (
-  SELECT 'country' AS kind, w AS key, w AS name, 'https://example.org/countries/' || w AS url
-  FROM (SELECT w, count(*) AS c FROM cw GROUP BY w ORDER BY c DESC, w LIMIT 200)
+  SELECT DISTINCT 'country' AS kind, w AS key, w AS name, 'https://example.org/countries/' || w AS url
+  FROM (SELECT unnest(regexp_extract_all(text, '\\p{Lu}\\p{Ll}{4,}')) AS w FROM conversations)
 ),
 entity_dim AS (
   SELECT * FROM bureaus UNION ALL SELECT * FROM partners UNION ALL SELECT * FROM countries
 )"""
 
 ORACLE.update({
+    "loaded_dictionary": with_(ENTITY_DIM) + "SELECT kind, key, name, url FROM bureaus",
     "entity_dim": with_(ENTITY_DIM) + "SELECT kind, key, name, url FROM entity_dim",
     "entity_matches": with_(DOCUMENT, ENTITY_DIM) + """,
         runs AS (

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import config, fixtures
-from quire.operators import index, search, textindex, tfidf
+from quire.operators import entities, index, search, termstats, textindex, tfidf
 from quire.operators import similarity as S
 from quire.plans import analysis
 from quire.session import shared_path, written
-from quire.sources import tables, versioned
+from quire.sources import clustered, files, tables, versioned
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,18 @@ def term_statistics(spark, sf_dir):
     return _r6(tfidf.term_statistics(_ngram_weights(spark, sf_dir)), "score_sum")
 
 
+def document_frequencies(spark, sf_dir):
+    """Frequencies kept up over four batches: all documents in three, and
+    every fifth changed to its title in the last, which is replayed."""
+    root, doc, n = shared_path(spark, "kept-terms"), _filled(spark, sf_dir), F.col("uid").cast("long")
+    termstats.create(spark, root)
+    for batch in (0, 1, 2, 3, 3):
+        rows = (doc.where(n % 3 == batch) if batch < 3
+                else doc.where(n % 5 == 0).withColumn("full_text", F.col("title")))
+        termstats.ingest(rows, root, "documents", batch)
+    return termstats.frequencies(spark, root)
+
+
 def top_terms(spark, sf_dir):
     return analysis.document_top_terms(_doc(spark, sf_dir))
 
@@ -97,6 +109,13 @@ def feed(spark, sf_dir):
     return search.feed(_doc(spark, sf_dir))
 
 
+def feed_clustered(spark, sf_dir):
+    """The feed from a table in date order, whose newest files alone are read."""
+    path = shared_path(spark, "by-date")
+    clustered.write(_doc(spark, sf_dir).select(*search.LISTING), path, "doc_date")
+    return search.feed(clustered.last(spark, path, "doc_date", config.FEED_LIMIT))
+
+
 def feed_parsed_dates(spark, sf_dir):
     return search.feed(_doc(spark, sf_dir), parse_dates=True)
 
@@ -287,12 +306,32 @@ def descriptions(spark, sf_dir):
     return d.select("page_id", blocks.trim_description("description").alias("description"))
 
 
+def html_files(spark, sf_dir):
+    """The pages landed as files, scanned as Latin-1, counted by line."""
+    folder = shared_path(spark, "landed")
+    _pages(spark, sf_dir).where("html is not null").select("html").write.text(folder)
+    found = files.read_html_files(spark, folder, "*.txt")
+    # Every page ends with the line break that the text sink adds.
+    lines = found.select(F.explode(F.split(F.expr("substring(html, 1, length(html) - 1)"), "\n", -1)).alias("line"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def loaded_dictionary(spark, sf_dir):
+    """The bureau dictionary as two JSON files, loaded and paired."""
+    dim = fixtures.entity_dim(spark, sf_dir).where("kind = 'bureau'")
+    paths = {}
+    for column in ("name", "url"):
+        paths[column] = shared_path(spark, f"{column}s")
+        (dim.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", column)))).alias("value"))
+         .write.text(paths[column]))
+    return entities.load_dictionary(spark, paths["name"], paths["url"], "bureau")
+
+
 def entity_dim(spark, sf_dir):
     return fixtures.entity_dim(spark, sf_dir)
 
 
 def entity_matches(spark, sf_dir):
-    from quire.operators import entities
     doc = _doc(spark, sf_dir).select("uid", "full_text")
     return entities.match(doc, fixtures.entity_dim(spark, sf_dir))
 
@@ -307,11 +346,6 @@ def ingest_pages(spark, sf_dir):
     return ingest.page_records(_pages(spark, sf_dir)).drop("uid", "u_date")
 
 
-def table_files(spark, sf_dir):
-    from quire.sources import files
-    return files.list_files(spark, sf_dir, "*.parquet")
-
-
 def similar_upsert(spark, sf_dir):
     """Upsert a partial recompute (pairs of English documents) into an
     older pair table (scores kept to 2 digits)."""
@@ -378,9 +412,11 @@ QUERIES: dict[str, Query] = {
     "term_statistics": term_statistics,
     "top_terms": top_terms,
     "df_histogram": df_histogram,
+    "document_frequencies": document_frequencies,
     "parity": parity,
     "trending": trending,
     "feed": feed,
+    "feed_clustered": feed_clustered,
     "feed_parsed_dates": feed_parsed_dates,
     "search": search_text,
     "search_quoted": search_quoted,
@@ -417,7 +453,8 @@ QUERIES: dict[str, Query] = {
     "entity_matches": entity_matches,
     "actions": actions,
     "ingest_pages": ingest_pages,
-    "table_files": table_files,
+    "html_files": html_files,
+    "loaded_dictionary": loaded_dictionary,
     "similar_upsert": similar_upsert,
     "table_append": table_append,
     "document_upsert": document_upsert,

@@ -42,10 +42,3 @@ def stream_html_files(spark: SparkSession, folder: str, glob: str = "*",
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return _decode(r.load(folder), encoding)
 
-
-def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """``(file_name, length, sha256)`` of the files of a folder: every byte
-    is read by the executors and digested in the JVM."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return raw.select(F.element_at(F.split("path", "/", -1), -1).alias("file_name"),
-                      F.col("length"), F.sha2(F.col("content"), 256).alias("sha256"))
