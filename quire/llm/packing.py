@@ -32,51 +32,99 @@ from quire.llm.common import arrow_map, stored
 CAPACITY, END, GROUPS, SMALL = 4096, 1, 1024, 256
 VOCABULARY = "word_bpe_49k.json"
 SPACE = re.compile(r"[ \n\t\r]+")
-
-
+#: White space at which str.split cuts and the words here end not.
+ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A word of Latin letters and the marks behind it.  The vocabulary splits it
-#: there too, and reads capitals as small letters.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?%$#&*()]*)")
+#: there too, and reads capitals as small letters; U+0130 is not among the
+#: letters, as its small form is two characters.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?%$#&*()]*)")
 
 
 class Ids(dict):
-    """word -> ids.  The vocabulary drops white space and never joins across
-    it, so words are encoded once and remembered up to a bound; a word not yet
-    seen is put together from its letters and its marks, if those are known."""
+    """word -> number of an entry that holds its ids.
+
+    The vocabulary drops white space and never joins across it, so words are
+    encoded once and remembered up to a bound.  A word not yet seen is put
+    together from its letters and its marks; letters that are new are encoded
+    many at a time, for each ends with a token that ends a word."""
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 1_000_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.model, self.most, self.longest = Tokenizer.from_file(path), most, longest
-        self.letters: dict[str, tuple[int, ...]] = {}
-
-    def _encode(self, word: str) -> tuple[int, ...]:
-        return tuple(self.model.encode(word, add_special_tokens=False).ids) if word else ()
-
-    def _part(self, word: str) -> tuple[int, ...]:
-        ids = self.letters.get(word)
-        if ids is None:
-            ids = self._encode(word)
-            if len(word) <= self.longest:
-                if len(self.letters) >= self.most:
-                    self.letters.clear()
-                self.letters[word] = ids
-        return ids
-
-    def __missing__(self, word):
-        plain = PLAIN.fullmatch(word)
-        ids = self._part(plain[1].lower()) + self._part(plain[2]) if plain else self._encode(word)
-        if len(word) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Ids of a text, ended by END."""
-        words = SPACE.split(text or "")
-        return np.fromiter(chain(chain.from_iterable(map(self.__getitem__, words)), (END,)), np.uint32)
+        self.model, self.most = Tokenizer.from_file(path), most
+        ends = np.zeros(self.model.get_vocab_size(), bool)
+        for token, i in self.model.get_vocab().items():
+            ends[i] = token.endswith("</w>")
+        self.ends = ends
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.parts: dict[str, np.ndarray] = {}
+        self.new: list[str] = []
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.size, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self._add([np.array([END], np.uint32)], [1])  # entry 0: what ends a text
+
+    def _add(self, ids: list[np.ndarray], sizes: list[int]) -> None:
+        """New entries of so many ids each."""
+        both, size = np.concatenate(ids), np.array(sizes, np.int64)
+        begin = self.used + np.cumsum(size) - size
+        while self.used + len(both) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.known + len(size) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.flat[self.used:self.used + len(both)] = both
+        self.begin[self.known:self.known + len(size)] = begin
+        self.size[self.known:self.known + len(size)] = size
+        self.used, self.known = self.used + len(both), self.known + len(size)
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = self.known + len(self.new) - 1
+        return n
+
+    def _encode(self, word: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([word], add_special_tokens=False)[0].ids if word else [], np.uint32)
+
+    def _learn(self) -> None:
+        """Entries of the words that are new."""
+        plain = [PLAIN.fullmatch(w) for w in self.new]
+        ask = list({m[1].lower() for m in plain if m} - self.parts.keys())
+        ids = self._encode(" ".join(ask))
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(ask) and (len(ids) == 0 or cuts[-1] == len(ids)):
+            self.parts.update(zip(ask, np.split(ids, cuts[:-1])))
+        else:
+            self.parts.update((w, self._encode(w)) for w in ask)
+        ids, sizes = [], []
+        for word, m in zip(self.new, plain):
+            found = self._encode(word) if not m else self.parts[m[1].lower()]
+            ids.append(found)
+            sizes.append(len(found))
+            if m and m[2]:
+                marks = self.parts.get(m[2])
+                if marks is None:
+                    marks = self.parts[m[2]] = self._encode(m[2])
+                ids.append(marks)
+                sizes[-1] += len(marks)
+        if ids:
+            self._add(ids, sizes)
+        self.new = []
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each ended by END, and the bounds of each."""
+        if self.known > self.most or self.used > 8 * self.most:
+            self.forget()
+        words = [SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in (t or "" for t in texts)]
+        number = np.fromiter(chain.from_iterable(chain(map(self.__getitem__, ws), (0,)) for ws in words), np.int64)
+        self._learn()
+        size = self.size[number]
+        end = np.cumsum(size)
+        ids = self.flat[np.repeat(self.begin[number] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+        texts_end = end[np.cumsum([len(ws) + 1 for ws in words]) - 1] if words else end
+        return ids, np.concatenate([[0], texts_end])
 
 
 @cache
@@ -90,25 +138,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and two numbers that count
-    pieces of one length within the task."""
+    pieces of one length within the task.  Without ``path`` each task looks up
+    where its machine has the vocabulary."""
 
     def start():
-        return {"ids": shared_ids(path), "seen": np.zeros(capacity + 1, np.int64),
+        return {"ids": shared_ids(path or tokenizer_path()), "seen": np.zeros(capacity + 1, np.int64),
                 "part": TaskContext.get().partitionId()}
 
     def fn(batch, s):
         row, number, begin, size, crc, nth = [], [], [], [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            ids = s["ids"].of(text)
-            for n, at in enumerate(range(0, len(ids), capacity)):
-                cut = ids[at:at + capacity]
+        every, bounds = s["ids"].of(batch.column("text").to_pylist())
+        every = every.astype("<u4")
+        for i, (first, last) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+            for n, at in enumerate(range(first, last, capacity)):
+                cut = every[at:min(at + capacity, last)]
                 row.append(i)
                 number.append(n)
-                begin.append(at)
+                begin.append(at - first)
                 size.append(len(cut))
-                crc.append(zlib.crc32(cut.astype("<u4").tobytes()))
+                crc.append(zlib.crc32(cut))
                 nth.append(s["seen"][len(cut)])
                 s["seen"][len(cut)] += 1
         return [batch.column("doc_id").take(pa.array(row)), number, begin, size, crc,
@@ -265,7 +315,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     Null and empty texts are the end id alone.  Only documents longer than
     the capacity are cut.  Repeated rows, and null ids, are packed like any
     others; extra columns are ignored; an empty table has no pieces."""
-    cut = stored(pieces(docs, path or tokenizer_path(), capacity), "pieces")
+    cut = stored(pieces(docs, path, capacity), "pieces")
     counts = _histogram(cut, "length", capacity)
     rows = ranked(cut, "length")
     runs, n_large = plan_large(counts, capacity, groups, small)

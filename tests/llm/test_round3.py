@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pytest
 
-from quire.llm import bpe_codec, conversation_repair, periodic_runs, queries
+from quire.llm import bpe_codec, conversation_repair, packing, periodic_runs, queries
 
 SF = "/root/testdata/sf0.001"
 WORDS = "the of and a long list of plain words to fill some lines with text that goes on for a while".split()
@@ -325,3 +325,19 @@ def test_conversation_query(spark):
             .select("conv_id", "turn", "role", "text").collect()]
     got = {r.conv_id: fields(r) for r in queries.op13_conversation_repair(spark, SF).collect()}
     assert got == brute_all(rows)
+
+
+# ------------------------------------------------------------------ packing: words to ids
+
+def test_word_ids_equal_whole_texts():
+    """Every letter of the plain range with marks, odd spaces, forgetting."""
+    ids = packing.Ids(packing.tokenizer_path(), most=3000)
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x250)]]
+    texts = [" ".join(f"{c}{m} x{c}y{m}{m}" for c in letters) for m in ("", ".", "!?", "(", "%$#")]
+    texts += ["Xİ. İ", "", None, "  ", "a\x0bb\x0cc\x1cd\x85e\u3000f\u2028g\xa0h", "don't we'll o'clock 's", "12ab ab12. é1",
+              "word" * 900, "日本語 text.", "...!!! ?", "<|startoftext|> x<|endoftext|>y", *(prose(300, i) for i in range(6))]
+    for _ in range(2):
+        for part in (texts[:7], texts[7:9], [], texts[9:], texts):
+            got, bounds = ids.of(part)
+            for t, a, b in zip(part, bounds, bounds[1:]):
+                assert got[a:b].tolist() == [*ids.model.encode(t or "", add_special_tokens=False).ids, packing.END]
