@@ -9,6 +9,13 @@ rare words and n-grams count as nothing.  The recurrent weights, the
 attention and the output are learned on windows: a toxic document's most
 suspicious window against the most suspicious and random windows of clean
 ones, chosen anew by the network between rounds.
+
+The network goes along a text once in each direction, not once a window: in
+blocks of BLOCK words that begin CONTEXT words early (on both sides), so a
+state knows at least CONTEXT words before it and no text is one long chain.
+The windows then differ only in which positions the attention is over; its
+sums for all windows of WINDOW words, one from every word, are sliding sums.
+Training sees windows in the same surroundings.
 """
 
 from __future__ import annotations
@@ -26,8 +33,11 @@ from quire.llm.common import arrow_map, held_out, with_fields
 
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW, HIDDEN, INPUTS = 32, 8, 3
-#: Bounds of the training sample: labelled documents, and characters of one.
-SAMPLE, SAMPLE_CHARS = 4000, 40_000
+BLOCK, CONTEXT = 128, 16
+#: Bound of the training sample: labelled documents, read whole.
+SAMPLE = 4000
+#: Parts of the sample whose evidence comes from the other parts.
+FOLDS = 4
 
 
 def grams(word: str) -> list[str]:
@@ -86,14 +96,12 @@ class Inputs(dict):
         return np.array(flat, np.float32).reshape(-1, INPUTS)
 
 
-def windows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of WINDOW positions, one from each position (a view), and
-    their lengths; a shorter text is one window, filled up with zeros."""
-    short = WINDOW - len(x)
-    if short > 0:
-        x = np.concatenate([x, np.zeros((short, INPUTS), np.float32)])
-    w = np.lib.stride_tricks.sliding_window_view(x, WINDOW, axis=0).transpose(0, 2, 1)
-    return w, np.full(len(w), WINDOW - max(short, 0))
+def windows(x: np.ndarray) -> np.ndarray:
+    """All windows of WINDOW positions, one from each position (a view); a
+    shorter text is one window, filled up with zeros."""
+    if len(x) < WINDOW:
+        x = np.concatenate([x, np.zeros((WINDOW - len(x), INPUTS), np.float32)])
+    return np.lib.stride_tricks.sliding_window_view(x, WINDOW, axis=0).transpose(0, 2, 1)
 
 
 def start_net(rng) -> dict:
@@ -126,29 +134,38 @@ def gru(net, d, proj, mask, keep=None):
     return out
 
 
-def forward(net, x, lengths, keep=None):
-    """Logits of windows x (n, steps, INPUTS)."""
-    x = np.ascontiguousarray(x.transpose(1, 0, 2))
-    return read(net, project(net, x), lengths, x, keep)
+def segment(x: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A window and CONTEXT positions on both sides: inputs, which positions
+    the text has, and which belong to the window."""
+    place = np.arange(at - CONTEXT, at + WINDOW + CONTEXT)
+    has = (place >= 0) & (place < len(x))
+    return (x[np.clip(place, 0, len(x) - 1)] * has[:, None], has,
+            has & (place >= at) & (place < at + WINDOW))
 
 
-def project(net, x):
-    """Inputs of both directions' gates; those of a position hold for all its windows."""
-    return [x @ net[f"W{d}"] + net[f"c{d}"] for d in "fb"]
+def states(net, x, has, keep=None):
+    """States of both directions (steps, n, 2 * HIDDEN) over inputs x (steps,
+    n, INPUTS); positions that a text has not leave them as they are."""
+    mask = has[:, :, None].astype(np.float32)
+    kf, kb = ([], []) if keep is not None else (None, None)
+    out = np.concatenate([gru(net, d, x @ net[f"W{d}"] + net[f"c{d}"], mask, k)
+                          for d, k in (("f", kf), ("b", kb))], axis=2)
+    if keep is not None:
+        keep.update(x=x, mask=mask, f=kf, b=kb)
+    return out
 
 
-def read(net, proj, lengths, x=None, keep=None):
-    """Logits of windows from their projections (steps, n, 3 * HIDDEN)."""
-    mask = (np.arange(WINDOW)[:, None] < lengths).astype(np.float32)[:, :, None]
-    kf, kb = ([], []) if keep is not None else (None, None)
-    h = np.concatenate([gru(net, "f", proj[0], mask, kf), gru(net, "b", proj[1], mask, kb)], axis=2)
+def forward(net, x, has, pool, keep=None):
+    """Logits of segments: inputs x (n, steps, INPUTS), the positions that are
+    there and those that are pooled (n, steps)."""
+    h = states(net, np.ascontiguousarray(x.transpose(1, 0, 2)), has.T, keep)
     u = np.tanh(h @ net["a"])
-    e = (u @ net["v"])[:, :, 0] - 1e4 * (1 - mask[:, :, 0])
+    e = (u @ net["v"])[:, :, 0] - 1e4 * (1 - pool.T)
     w = np.exp(e - e.max(axis=0))
     w /= w.sum(axis=0)
     pooled = (w[:, :, None] * h).sum(axis=0)
     if keep is not None:
-        keep.update(x=x, mask=mask, h=h, u=u, w=w, pooled=pooled, f=kf, b=kb)
+        keep.update(h=h, u=u, w=w, pooled=pooled)
     return (pooled @ net["o"] + net["ob"])[:, 0]
 
 
@@ -182,14 +199,14 @@ def backward(net, k, dlogit):
     return g
 
 
-def train(net, x, lengths, y, rng, steps=250, batch=256, rate=0.01):
+def train(net, x, has, pool, y, rng, steps=250, batch=256, rate=0.01):
     """Adam on cross entropy; classes are drawn evenly."""
     first, second = ({n: np.zeros_like(p) for n, p in net.items()} for _ in range(2))
     one, zero = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     for i in range(1, steps + 1):
         pick = np.concatenate([rng.choice(one, batch // 2), rng.choice(zero, batch // 2)])
         k: dict = {}
-        p = sigmoid(forward(net, x[pick], lengths[pick], k))
+        p = sigmoid(forward(net, x[pick], has[pick], pool[pick], k))
         g = backward(net, k, (p - y[pick]) / batch)
         for n in net:
             first[n] = .9 * first[n] + .1 * g[n]
@@ -198,30 +215,73 @@ def train(net, x, lengths, y, rng, steps=250, batch=256, rate=0.01):
             net[n] = (net[n] - rate * step).astype(np.float32)
 
 
-def document_logits(net, inputs: list[np.ndarray], most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def positions(net, x: np.ndarray, bounds: np.ndarray, most: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """For every position of the texts x[bounds[i]:bounds[i + 1]] the weight
+    of the attention (not yet divided by a window's sum) and the output of
+    its state.  Inner blocks without any evidence are all alike, so one of
+    them is read for all."""
+    sizes = np.diff(bounds)
+    count = -(-sizes // BLOCK)
+    doc = np.repeat(np.arange(len(sizes)), count)
+    begin = bounds[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * BLOCK
+    steps = np.arange(-CONTEXT, BLOCK + CONTEXT)
+    inner = slice(CONTEXT, CONTEXT + BLOCK)
+    weight, out = np.empty(len(x)), np.empty(len(x))
+
+    def read(place, has):
+        h = states(net, np.ascontiguousarray((x[np.clip(place, 0, len(x) - 1)] * has[:, :, None]).transpose(1, 0, 2)),
+                   has.T)[inner]
+        e = np.tanh(h @ net["a"]) @ net["v"]
+        return np.exp(e[:, :, 0].T.astype(np.float64)), (h @ net["o"])[:, :, 0].T
+
+    def put(rows, values):
+        place = begin[rows][:, None] + np.arange(BLOCK)
+        own = place < bounds[doc[rows] + 1][:, None]
+        for into, v in zip((weight, out), values):
+            into[place[own]] = np.broadcast_to(v, place.shape)[own]
+
+    some = np.r_[0, np.cumsum(x.any(axis=1))]
+    first, last = np.maximum(begin - CONTEXT, bounds[doc]), np.minimum(begin + BLOCK + CONTEXT, bounds[doc + 1])
+    blank = (some[first] == some[last]) & (last - first == len(steps))
+    if blank.any():
+        one = np.flatnonzero(blank)[:1]
+        put(np.flatnonzero(blank), read(begin[one][:, None] + steps, np.ones((1, len(steps)), bool)))
+    rest = np.flatnonzero(~blank)
+    for i in range(0, len(rest), most):
+        rows = rest[i:i + most]
+        place = begin[rows][:, None] + steps
+        put(rows, read(place, (place >= bounds[doc[rows]][:, None]) & (place < bounds[doc[rows] + 1][:, None])))
+    return weight, out
+
+
+def sliding(v: np.ndarray) -> np.ndarray:
+    """Sums of WINDOW (a power of two) values from every place on, by doubling."""
+    v, size = np.concatenate([v, np.zeros(WINDOW)]), 1
+    while size < WINDOW:
+        v = np.concatenate([v[:-size] + v[size:], v[-size:]])
+        size *= 2
+    return v[:-WINDOW]
+
+
+def document_logits(net, inputs: list[np.ndarray], most: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Largest window logit of each document (which has a word), and which
-    window.  Each position is projected once; windows without any evidence
-    are all alike, so one of them is read for all."""
+    window."""
     top = np.full(len(inputs), -np.inf)
     where = np.zeros(len(inputs), np.int64)
-    blank = read(net, project(net, np.zeros((WINDOW, 1, INPUTS), np.float32)), np.array([WINDOW]))[0]
     held: list[int] = []
 
     def flush():
         size = np.array([len(inputs[i]) for i in held])
-        x = np.concatenate([*(inputs[i] for i in held), np.zeros((WINDOW, INPUTS), np.float32)])
+        bounds = np.r_[0, np.cumsum(size)]
+        weight, out = positions(net, np.concatenate([inputs[i] for i in held]), bounds, most)
+        logit = sliding(weight * out) / sliding(weight)
+        short = size < WINDOW
+        whole = np.add.reduceat(weight * out, bounds[:-1]) / np.add.reduceat(weight, bounds[:-1])
+        logit[bounds[:-1][short]] = whole[short]
         count = np.maximum(1, size - WINDOW + 1)
         own = np.repeat(np.arange(len(held)), count)
         offset = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-        start = np.repeat(np.cumsum(size) - size, count) + offset
-        lengths = np.minimum(WINDOW, size)[own]
-        some = np.r_[0, np.cumsum(x.any(axis=1))]
-        s = np.full(len(own), blank)
-        full = np.flatnonzero((some[start + lengths] > some[start]) | (lengths < WINDOW))
-        proj, steps = project(net, x), np.arange(WINDOW)[:, None]
-        for i in range(0, len(full), most):
-            part = full[i:i + most]
-            s[part] = read(net, [p[start[part] + steps] for p in proj], lengths[part])
+        s = logit[bounds[own] + offset] + float(net["ob"][0, 0])
         order = np.lexsort((offset, -s, own))
         lead = order[np.r_[True, own[order][1:] != own[order][:-1]]]
         top[held], where[held] = s[lead], offset[lead]
@@ -232,7 +292,7 @@ def document_logits(net, inputs: list[np.ndarray], most: int = 4096) -> tuple[np
         if len(x):
             held.append(i)
             words += len(x)
-            if words >= 4 * most:
+            if words >= most * BLOCK:
                 flush()
                 words = 0
     if held:
@@ -248,24 +308,33 @@ def fit_texts(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         return Model({}, {}, None, base)
     rng = np.random.default_rng(seed)
     words = [WORD.findall(t.lower()) for t in texts]
-    model = Model(evidence(words, y, lambda w: (w,)), evidence(words, y, grams), None, min(base, 0.49))
-    cache = Inputs(model)
-    inputs = [cache.of(t) for t in texts]
+
+    def evident(rows):
+        part = [words[i] for i in rows]
+        return evidence(part, y[rows], lambda w: (w,)), evidence(part, y[rows], grams)
+
+    model = Model(*evident(np.arange(len(y))), None, min(base, 0.49))
+    # The network sees each training text through the evidence of the others,
+    # as it will see new texts, so it learns how far evidence can be trusted.
+    fold = rng.permutation(len(y)) % FOLDS
+    inputs: list = [None] * len(y)
+    for f in range(FOLDS):
+        cache = Inputs(Model(*evident(np.flatnonzero(fold != f)), None, base))
+        for i in np.flatnonzero(fold == f):
+            inputs[i] = cache.of(texts[i])
     use = [i for i, x in enumerate(inputs) if len(x)]
     inputs, y = [inputs[i] for i in use], y[use]
     if len(set(y.tolist())) < 2:
         return model
     net = start_net(rng)
-    where = np.array([int(np.argmax(windows(x)[0].max(axis=2).sum(axis=1))) for x in inputs])
+    where = np.array([int(np.argmax(windows(x).max(axis=2).sum(axis=1))) for x in inputs])
     for _ in range(3):
-        xs, ls, ys = [], [], []
+        parts, ys = [], []
         for x, label, at in zip(inputs, y, where):
-            w, n = windows(x)
-            for j in {int(at)} | (set() if label else {int(rng.integers(len(w)))}):
-                xs.append(w[j])
-                ls.append(n[j])
+            for j in {int(at)} | (set() if label else {int(rng.integers(max(1, len(x) - WINDOW + 1)))}):
+                parts.append(segment(x, j))
                 ys.append(label)
-        train(net, np.stack(xs), np.array(ls), np.array(ys), rng)
+        train(net, *(np.stack(p) for p in zip(*parts)), np.array(ys), rng)
         top, where = document_logits(net, inputs)
     order = np.argsort(top)
     t, lab = top[order], y[order]
@@ -278,15 +347,14 @@ def fit_texts(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on at most ``sample`` labelled documents that are not held out
-    (those of smallest id hash), ``chars`` characters of each.  A repeated
-    label counts as toxic if any of them is; null labels are ignored."""
+    (those of smallest id hash), whole.  A repeated label counts as toxic if any of them is; null labels are ignored."""
     pick = (labels.filter("toxic is not null").filter(~held_out())
             .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # Broadcast of at most ``sample`` ids.
-    rows = (docs.select("doc_id", F.substring("text", 1, chars).alias("text"))
+    rows = (docs.select("doc_id", "text")
             .join(F.broadcast(pick), "doc_id")
             .orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample)
             .select("text", "toxic").toArrow())

@@ -230,13 +230,15 @@ def test_toxicity(spark):
 def test_network_gradient():
     rng = np.random.default_rng(0)
     net = {k: v.astype(np.float64) for k, v in toxicity.start_net(rng).items()}
-    x, n, y = rng.standard_normal((4, toxicity.WINDOW, toxicity.INPUTS)), np.array([32, 20, 1, 7]), np.array([1, 0, 1, 0])
+    y = np.array([1, 0, 1, 0])
+    parts = [toxicity.segment(rng.standard_normal((n, toxicity.INPUTS)), at) for n, at in ((90, 30), (20, 0), (1, 0), (40, 8))]
+    x, has, pool = (np.stack(p) for p in zip(*parts))
 
     def loss(m):
-        p = toxicity.sigmoid(toxicity.forward(m, x, n))
+        p = toxicity.sigmoid(toxicity.forward(m, x, has, pool))
         return -np.sum(y * np.log(p) + (1 - y) * np.log(1 - p))
     k = {}
-    g = toxicity.backward(net, k, (toxicity.sigmoid(toxicity.forward(net, x, n, k)) - y))
+    g = toxicity.backward(net, k, (toxicity.sigmoid(toxicity.forward(net, x, has, pool, k)) - y))
     for name in net:
         at = tuple(rng.integers(s) for s in net[name].shape)
         up, down = ({**net, name: net[name].copy()} for _ in range(2))
@@ -249,11 +251,22 @@ def test_every_window_is_scored():
     rng = np.random.default_rng(6)
     net = toxicity.start_net(rng)
     docs = [(rng.random((n, 3)) * (rng.random((n, 1)) < .1)).astype(np.float32) for n in (1, 20, 32, 33, 57, 100, 900, 0, 40)]
-    top, where = toxicity.document_logits(net, docs, most=64)
+    docs.append(np.zeros((700, 3), np.float32))  # blocks without any evidence
+    top, where = toxicity.document_logits(net, docs, most=3)
+    B, C = toxicity.BLOCK, toxicity.CONTEXT
     for x, s, at in zip(docs, top, where):
-        n = min(len(x), 32)
-        each = [toxicity.forward(net, np.pad(x[i:i + 32], ((0, 32 - n), (0, 0)))[None], np.array([n]))[0]
-                for i in range(max(1, len(x) - 31))] if len(x) else [-np.inf]
+        h = np.zeros((len(x), 2 * toxicity.HIDDEN))
+        for b in range(0, len(x), B):  # each block by itself, with the words around it
+            part = x[max(0, b - C):b + B + C]
+            own = toxicity.states(net, part[:, None], np.ones((len(part), 1), bool))[:, 0]
+            h[b:b + B] = own[b - max(0, b - C):][:B]
+        each = [-np.inf]
+        if len(x):
+            each = []
+            for i in range(max(1, len(x) - 31)):
+                e = (np.tanh(h[i:i + 32] @ net["a"]) @ net["v"])[:, 0]
+                w = np.exp(e - e.max())
+                each.append(float((w / w.sum() @ h[i:i + 32]) @ net["o"] + net["ob"][0]))
         assert np.isclose(s, max(each), atol=1e-5) and (not len(x) or np.isclose(each[at], max(each), atol=1e-5))
 
 
