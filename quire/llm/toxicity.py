@@ -274,14 +274,16 @@ def document_logits(net, inputs: list[np.ndarray], most: int = 512) -> tuple[np.
         size = np.array([len(inputs[i]) for i in held])
         bounds = np.r_[0, np.cumsum(size)]
         weight, out = positions(net, np.concatenate([inputs[i] for i in held]), bounds, most)
-        logit = sliding(weight * out) / sliding(weight)
-        short = size < WINDOW
-        whole = np.add.reduceat(weight * out, bounds[:-1]) / np.add.reduceat(weight, bounds[:-1])
-        logit[bounds[:-1][short]] = whole[short]
         count = np.maximum(1, size - WINDOW + 1)
         own = np.repeat(np.arange(len(held)), count)
         offset = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-        s = logit[bounds[own] + offset] + float(net["ob"][0, 0])
+        at, short = bounds[own] + offset, size < WINDOW
+        sums = []
+        for v in (weight * out, weight):
+            part = sliding(v)[at]
+            part[short[own]] = np.add.reduceat(v, bounds[:-1])[short]  # a short text is one window
+            sums.append(part)
+        s = sums[0] / sums[1] + float(net["ob"][0, 0])
         order = np.lexsort((offset, -s, own))
         lead = order[np.r_[True, own[order][1:] != own[order][:-1]]]
         top[held], where[held] = s[lead], offset[lead]

@@ -266,7 +266,7 @@ def test_every_window_is_scored():
             for i in range(max(1, len(x) - 31)):
                 e = (np.tanh(h[i:i + 32] @ net["a"]) @ net["v"])[:, 0]
                 w = np.exp(e - e.max())
-                each.append(float((w / w.sum() @ h[i:i + 32]) @ net["o"] + net["ob"][0]))
+                each.append(((w / w.sum() @ h[i:i + 32]) @ net["o"] + net["ob"][0]).item())
         assert np.isclose(s, max(each), atol=1e-5) and (not len(x) or np.isclose(each[at], max(each), atol=1e-5))
 
 
