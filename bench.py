@@ -22,8 +22,8 @@ from quire.session import local_session  # noqa: E402
 
 HEADLINE = [
     "related_on_demand",   # flagship: one document against the corpus
-    "pair_table",          # all-pairs cosine (sparse, both orientations)
-    "related_all",         # top-3 related for every document
+    "pair_table",          # exact cosine join above the stored threshold
+    "related_all",         # top-3 related for every document, among those pairs
     "top_terms",           # 1-3-gram TF-IDF, band filter, top 3 per document
     "trending",            # top terms of the newest documents
     "term_statistics",     # per n-gram document count and weight sum
