@@ -458,7 +458,7 @@ def test_sql(spark):
     from quire.llm.oracle import ORACLE
     from quire.llm.queries import QUERIES
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in ORACLE.items():
         got = QUERIES[name](spark, SF)
