@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import entities as E
-from quire.operators import tfidf
+from quire.operators import index, tfidf
+from quire.operators import similarity as S
+from quire.session import written
+from test_similarity import TEXTS, _best, _brute, _frame
 
 
 @pytest.mark.parametrize("bounded", [False, True])
@@ -41,3 +44,21 @@ def test_a_null_key_is_weighed_like_any_other(spark):
     for t in ("one", "two"):
         assert got[None, t] == pytest.approx(got["a", t])
     assert sum(got["a", t] ** 2 for t in ("one", "two")) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("k,cutoff", [(3, 0.95), (40, 1.5)])
+def test_many_queries_meet_the_vectors_in_blocks(spark, monkeypatch, k, cutoff):
+    """No table of every two texts is written; the best are those of scoring all."""
+    monkeypatch.setattr(index, "MANY_TIMES", 0)
+    monkeypatch.setattr(S, "BLOCK_POSTINGS", 7)
+    monkeypatch.setattr(S, "DEALT_POSTINGS", 5)
+    named = []
+    monkeypatch.setattr(index, "written", lambda df, name: named.append(name) or written(df, name))
+    d = _frame(spark, TEXTS)
+    rows = [(r["uid"], r["full_text"]) for r in d.collect()]
+    vec, got = _brute(rows), {}
+    found = index.search(index.build(d), d.select("uid"), k, cutoff)
+    for r in found.best.orderBy("uid_1", "rank").collect():
+        got.setdefault(r["uid_1"], []).append((r["uid_2"], round(r["score"], 9)))
+    assert got == {u: b for u, _ in rows if u in vec and (b := _best(vec, rows, u, k, cutoff))}
+    assert "search-scores" not in named
