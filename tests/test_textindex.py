@@ -60,3 +60,37 @@ def test_given_documents(spark):
     got = {tuple(r) for r in textindex.matches(doc, textindex.build(doc), queries).collect()}
     want = {(r["qid"], u) for r in queries.collect() for u, t in texts.items() if _like(r["q"], t)}
     assert got == want and len(want) > 100
+
+
+def test_index_is_lists_of_blocks(spark, monkeypatch):
+    """A gram is a row for each block of texts, not for each text."""
+    doc = spark.createDataFrame([(f"u{i:02d}", t) for i, t in enumerate(TEXTS)], "uid string, full_text string").coalesce(1)
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    want = {(t.translate(fold)[i:i + n], f"u{j:02d}") for j, t in enumerate(TEXTS) if t
+            for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    for most in (2_000_000, 30, 1):
+        monkeypatch.setattr(textindex, "BLOCK_CHARS", most)
+        index = textindex.build(doc)
+        rows = [r for r in index.postings.collect() if len(r["gram"]) < 4]
+        assert all(r["docs"] == len(set(r["uids"])) == len(r["uids"]) for r in rows)
+        assert {(r["gram"], u) for r in rows for u in r["uids"]} == want and sum(r["docs"] for r in rows) == len(want)
+        assert (len({r["gram"] for r in rows}) == len(rows)) == (most > 30)
+        assert {r["gram"]: r["df"] for r in index.grams.collect()}["size"] == len(TEXTS) - 1
+
+
+def test_grams_of_an_alphabet_too_large_for_one_array():
+    texts = ["".join(map(chr, range(0x20000, 0x50000))), "\0a"] + ["ab", ""] * 800
+    grams, counts, at = textindex.text_grams(texts)
+    places = {}
+    for gram, end, n in zip(grams, counts.cumsum(), counts):
+        places.setdefault(gram, []).extend(at[end - n:end].tolist())
+    assert places["size"] == list(range(len(texts))) and places["ab"] == list(range(2, len(texts), 2))
+    assert places["\0a"] == [1] and places[texts[0][7:10]] == [0]
+
+
+def test_runs_stand_in_order(spark):
+    doc = spark.createDataFrame([("a", "2024-01-01", "one two one"), ("b", "2024-01-01", "two one"), ("c", "2024-01-01", "oneone")],
+                                "uid string, u_date string, full_text string")
+    q = spark.createDataFrame([(1, "one%two"), (2, "two%one"), (3, "one%one"), (4, "%one%%o_e"), (5, "neon%neon")], "qid long, q string")
+    got = {tuple(r) for r in textindex.matches(doc, textindex.build(doc), q).collect()}
+    assert got == {(1, "a"), (2, "a"), (2, "b"), (3, "a"), (3, "c"), (4, "a"), (4, "c")}
