@@ -170,6 +170,30 @@ def test_pruned_ngrams_hold_no_rare_part(spark, docs):
                 tuple(r) for r in a.frequency.collect() if r["term"] in shown}
 
 
+def test_levels_inside_rows_equal_joined_levels(spark, monkeypatch):
+    rows = [("1", "red fox jumps, red fox sleeps"), ("2", "red fox sleeps now"), ("3", None), ("4", "blue fox sleeps")]
+
+    def both(docs, **kw):
+        return [(sorted((r["uid"] or "", *map(tuple, r["grams"])) for r in lv.documents.where("size(grams) > 0").collect()),
+                 sorted(map(tuple, lv.frequency.collect()))) for lv in ngrams.levels(docs, "uid", "full_text", F.lit(1), **kw)]
+
+    def frame(rows):
+        return spark.createDataFrame(rows, "uid string, full_text string").repartition(2)
+
+    only = frame([("2", "")]).select("uid")
+    with monkeypatch.context() as m:
+        m.setattr(ngrams, "LOOKED_UP_TERMS", 1)     # more terms than that are joined
+        joined = both(frame(rows)), both(frame(rows), only=only)
+    with monkeypatch.context() as m:
+        # No row of words moves where every document has one row.
+        m.setattr(ngrams, "_collected", lambda *_: pytest.fail("words were shuffled"))
+        assert (both(frame(rows)), both(frame(rows), only=only)) == joined
+    assert joined[0][2][1] == [("red fox sleeps", 2)]
+    # Rows of one key are one document.
+    twice = both(frame([("1", "red fox"), ("1", "blue dog"), ("2", "red fox"), (None, "blue fox"), (None, "red dog")]))
+    assert [d[0] for d in twice[0][0]] == ["", "1", "2"]
+
+
 def test_top_terms_band_and_ties(spark):
     d = spark.createDataFrame([(str(i), t) for i, t in enumerate(
         ["alpha beta", "alpha gamma", "beta gamma", "delta"] * 5)], "uid string, full_text string")
