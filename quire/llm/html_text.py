@@ -24,7 +24,9 @@ import html as _html
 import math
 import re
 
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,8 @@ LOW, LEAST_PAGES, DECAY = 0.3, 5, 0.9
 OVERRULE = 2
 #: Least share of a page's characters that vary; below, all of it repeats, as on copies of one page.
 VARIED = 0.05
+#: Pages that move are packed with the beginnings of so many others at hand, of so many characters each.
+HEADS, HEAD_CHARS, PACK_LEVEL = 16, 4096, 6
 #: The main parts, and the group of the text outside them.
 MAIN, OUTSIDE = frozenset(("article", "main")), 1
 
@@ -337,6 +341,35 @@ def main_text(markup: str | None, tree: Tree) -> str:
     return " ".join(blocks[b] for b in sorted(keep))
 
 
+def heads(pages: DataFrame) -> bytes:
+    """What pages are packed with: markup that others may repeat.  It only
+    makes the packed pages smaller; any bytes, or none, give the same pages."""
+    found = pages.select(F.substring("html", 1, HEAD_CHARS).alias("h")).filter("h <> ''").limit(HEADS).collect()
+    return "".join(r["h"] for r in found).encode()
+
+
+def _dictionary(known: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(known) >= 8 else None
+
+
+def packed(pages: DataFrame, known: bytes) -> DataFrame:
+    """pages with the html (null: empty) as a zstd frame, for a smaller
+    shuffle: page_id, url, key, page."""
+
+    def start():
+        d = _dictionary(known)
+        if d is not None:
+            d.precompute_compress(level=PACK_LEVEL)
+        return zstandard.ZstdCompressor(level=PACK_LEVEL, dict_data=d)
+
+    def fn(batch, z):
+        return [batch.column("page_id"), batch.column("url"), batch.column("key"),
+                [z.compress(h or b"") for h in batch.column("html").cast(pa.binary()).to_pylist()]]
+
+    return arrow_map(pages.select("page_id", "url", "key", "html"), fn, "page_id long, url string, key long, page binary",
+                     slice_rows=512, start=start)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars per row of pages.
 
@@ -345,7 +378,9 @@ def extract(pages: DataFrame) -> DataFrame:
     White space is what Unicode counts as such, so no-break spaces too."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html",
                        host_of(F.col("url")).alias("host"))
-    tree = stored(style_tree(src), "tree")
+    # A node of the tree has one number, so that pages ask for theirs by it.
+    node = F.xxhash64("host", "path", "text").alias("node")
+    tree = stored(style_tree(src).select(node, "path", "text", "pages", "look", "open"), "tree")
 
     def own_paths(batch, _):
         out = [[], [], [], []]
@@ -364,14 +399,17 @@ def extract(pages: DataFrame) -> DataFrame:
 
     keyed = src.withColumn("key", F.xxhash64("host", "html"))
     paths = arrow_map(keyed.select("host", "key", "html"), own_paths, "host string, key long, path long, text long",
-                      slice_rows=512).distinct()
-    found = (paths.join(tree, ["host", "path", "text"]).groupBy("key")
+                      slice_rows=512).select("key", node).distinct()
+    found = (paths.join(tree, "node").groupBy("key")
              .agg(F.collect_list(F.struct("path", "text", "pages", "look", "open")).alias("tree")))
 
-    def fn(batch, _):
-        texts = [main_text(m, {(t["path"], t["text"]): (t["pages"], t["look"], t["open"]) for t in ts or ()})
-                 for m, ts in zip(batch.column("html").to_pylist(), batch.column("tree").to_pylist())]
+    known = heads(src)
+
+    def fn(batch, z):
+        texts = [main_text(z.decompress(m).decode(), {(t["path"], t["text"]): (t["pages"], t["look"], t["open"]) for t in ts or ()})
+                 for m, ts in zip(batch.column("page").to_pylist(), batch.column("tree").to_pylist())]
         return [batch.column("page_id"), batch.column("url"), texts, [len(t) for t in texts]]
 
-    return arrow_map(keyed.join(found, "key", "left").select("page_id", "url", "html", "tree"), fn,
-                     "page_id long, url string, text string, n_chars long", slice_rows=512)
+    return arrow_map(packed(keyed, known).join(found, "key", "left").select("page_id", "url", "page", "tree"), fn,
+                     "page_id long, url string, text string, n_chars long", slice_rows=512,
+                     start=lambda: zstandard.ZstdDecompressor(dict_data=_dictionary(known)))

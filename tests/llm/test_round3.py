@@ -341,3 +341,19 @@ def test_word_ids_equal_whole_texts():
             got, bounds = ids.of(part)
             for t, a, b in zip(part, bounds, bounds[1:]):
                 assert got[a:b].tolist() == [*ids.model.encode(t or "", add_special_tokens=False).ids, packing.END]
+
+
+def test_pages_move_packed(spark):
+    """Pages are packed for the join, with or without others at hand, and come out whole."""
+    import zstandard
+    from quire.llm import html_text
+    body = "<html><body><nav>menu</nav><article><p>%s</p></article></body></html>"
+    rows = [(i, "http://h/x", body % (f"ä😀\x00 {i} " * (i % 40)), i) for i in range(400)] + [(400, None, None, 0), (401, "", "", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key long").repartition(3)
+    for known in (html_text.heads(pages), html_text.heads(pages.limit(0)), b"short"):
+        z = zstandard.ZstdDecompressor(dict_data=html_text._dictionary(known))
+        got = html_text.packed(pages, known).collect()
+        assert {(r["page_id"], r["url"], z.decompress(r["page"]).decode(), r["key"]) for r in got} == {
+            (i, u, h or "", k) for i, u, h, k in rows}
+        if len(known) > 5:
+            assert 2 * sum(len(r["page"]) for r in got) < sum(len((h or "").encode()) for _, _, h, _ in rows)
