@@ -21,8 +21,8 @@ ends the query there.  All is equi-joins; a gram that most documents have is
 a long key only where a query has no rarer one.
 
 The index is kept in segments: every task writes the lists of its own
-documents, a row for each gram of a block of texts, by gram.  Building it
-shuffles nothing.
+documents, a row for each gram of a block of texts, by gram in a block.
+Building it shuffles nothing and holds one block.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ BROADCAST_GRAMS = 1_000_000
 
 
 class GramIndex(NamedTuple):
-    postings: DataFrame  #: (gram, docs, uids), a row for each block of texts, by gram in each file
+    postings: DataFrame  #: (gram, docs, uids), a row for each block of texts, by gram in a block
     grams: DataFrame     #: (gram, df)
 
 
@@ -161,8 +161,8 @@ def build(document: DataFrame, path: str | None = None, key: str = "uid", text:
     path = path or shared_path(document.sparkSession, "gram-index")
     rows = document.where(F.col(text).isNotNull()).select(F.col(key).alias("uid"), F.col(text).alias("text"))
     kind = rows.schema["uid"].dataType.simpleString()
-    (rows.mapInArrow(_lists, f"gram string, docs int, uids array<{kind}>").sortWithinPartitions("gram")
-     .write.parquet(f"{path}/postings"))
+    # Not sorted over blocks: a task holds one of them, however large its part of the table.
+    rows.mapInArrow(_lists, f"gram string, docs int, uids array<{kind}>").write.parquet(f"{path}/postings")
     found = document.sparkSession.read.parquet(f"{path}/postings")
     (found.groupBy("gram").agg(F.sum("docs").alias("df")).repartitionByRange("gram").sortWithinPartitions("gram")
      .write.parquet(f"{path}/grams"))
